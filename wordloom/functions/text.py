@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: classes of characters, as regular expressions
 CONTROL = r"[\p{C}&&[^\n\t\r]]"
@@ -56,12 +57,12 @@ def is_ascii(c: Column | str) -> Column:
     return _col(c).rlike(r"\A[\x00-\x7F]*\z")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _decompose(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, form="NFKD")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _fold(text: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_normalize(text, form="NFKD"), pattern=r"\p{M}+", replacement="")
 

@@ -6,8 +6,12 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A table travels to every executor only when it was measured below this many bytes.
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -67,6 +71,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A small table of literals. Going through Arrow makes it a local relation, whose size
+    the planner knows."""
+    if isinstance(schema, str):
+        schema = _parse_datatype_string(schema)
+    names = [f.name for f in schema.fields]
+    table = pa.Table.from_pylist([dict(zip(names, row)) for row in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Text bytes plus eight per row and column: the size that a broadcast would ship."""
     width = F.lit(8 * len(df.columns))
