@@ -59,16 +59,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give text-heavy work at least one partition per core.
+def spread(df: DataFrame, *keys: str, at_least: int = 0) -> DataFrame:
+    """Give text-heavy work at least one partition per core, or ``at_least`` so many.
 
     A small input may arrive as one split. A big one has far more splits than cores and
-    passes through untouched, so this adds no shuffle at scale.
+    passes through untouched, so this adds no shuffle at scale. Call it on a scan.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() > cores:
+    if df.rdd.getNumPartitions() > max(cores, at_least - 1):
         return df
-    return df.repartition(2 * cores, *keys)
+    return df.repartition(max(2 * cores, at_least), *keys)
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:

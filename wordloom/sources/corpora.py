@@ -109,14 +109,12 @@ def prepare(
     number of files. Saved work is not overwritten.
     """
     before, after = Observation("before"), Observation("after")
-    seen = spread(corpus, "record_id").observe(before, F.count(F.lit(1)).alias("n"))
+    wide = spread(corpus, "record_id", at_least=N_SHARDS)
+    seen = wide.observe(before, F.count(F.lit(1)).alias("n"))
     done = apply_steps(seen, default_steps() if steps is None else steps)
     done = done.observe(after, F.count(F.lit(1)).alias("n"))
     if shards is not None:
         done = done.repartition(shards)
-    elif 2 * corpus.sparkSession.sparkContext.defaultParallelism < N_SHARDS:
-        if corpus.rdd.getNumPartitions() < N_SHARDS:
-            done = done.repartition(N_SHARDS)
     try:
         done.write.mode("errorifexists").parquet(save_dir)
     except AnalysisException as error:
