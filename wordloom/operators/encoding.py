@@ -80,23 +80,21 @@ class Encoder:
     def encode_pair(self, pairs: DataFrame, first: str, second: str, way: str = "auto") -> DataFrame:
         """Two texts in one sequence, each wrapped, with ``type_ids`` 0 and 1."""
         others = [c for c in pairs.columns if c not in (first, second)]
-        both = pairs.select(
-            *others,
-            F.posexplode(F.array(F.col(first), F.col(second))).alias("segment", "text"),
-        )
-        encoded = self.encode(both, "text", way)
-        grouped = encoded.groupBy(*others).agg(
-            F.array_sort(F.collect_list(F.struct("segment", "ids", "tokens"))).alias("parts")
-        )
-        a, b = F.col("parts")[0], F.col("parts")[1]
-        return grouped.select(
+
+        def one(df: DataFrame, text: str, tag: str) -> DataFrame:
+            done = self.encode(df, text, way).drop("attention_mask")
+            return done.withColumnsRenamed({"ids": f"_ids{tag}", "tokens": f"_tokens{tag}"})
+
+        both = one(one(pairs, first, "0"), second, "1")
+        return both.select(
             *others,
-            F.concat(a["ids"], b["ids"]).alias("ids"),
-            F.concat(a["tokens"], b["tokens"]).alias("tokens"),
+            F.concat("_ids0", "_ids1").alias("ids"),
+            F.concat("_tokens0", "_tokens1").alias("tokens"),
             F.concat(
-                F.array_repeat(F.lit(0), F.size(a["ids"])), F.array_repeat(F.lit(1), F.size(b["ids"]))
+                F.array_repeat(F.lit(0), F.size("_ids0")), F.array_repeat(F.lit(1), F.size("_ids1"))
             ).alias("type_ids"),
-        ).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("ids")))
+            F.array_repeat(F.lit(1), F.size("_ids0") + F.size("_ids1")).alias("attention_mask"),
+        )
 
     # the Arrow way
 

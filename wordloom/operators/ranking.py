@@ -57,17 +57,16 @@ def row_numbers(
     df: DataFrame,
     groups: Sequence[str],
     order: str,
-    ties: Sequence[str] = (),
     name: str = "position",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Zero-based position of each row within its group, ordered by ``order`` then ``ties``."""
+    """Zero-based position of each row within its group. ``order`` is unique in a group."""
     ranged = with_ranges(df, order, rows_per_range)
     pieces = _pieces(ranged, groups, [F.count("*").alias("_n")])
     offsets = pieces.select(
         *groups, "_range", F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)).alias("_offset")
     )
-    within = Window.partitionBy(*groups, "_range").orderBy(order, *ties)
+    within = Window.partitionBy(*groups, "_range").orderBy(order)
     return (
         _attach(ranged, offsets, groups)
         .withColumn(name, F.row_number().over(within) - 1 + F.col("_offset"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.functions.text import ASCII_PUNCTUATION, join_words, word_ngrams
+from wordloom.operators.joins import lookup
+from wordloom.schemas import VOCAB_SIZE
 
 
 def select_key(df: DataFrame, key: str = "text", record_id: str = "record_id") -> DataFrame:
@@ -95,18 +97,20 @@ def is_punctuation(c: Column | str) -> Column:
     return c.isin(list(ASCII_PUNCTUATION))
 
 
-def member_ngrams(tokens: DataFrame, members: DataFrame, n: int, words: str = "tokens") -> DataFrame:
+def member_ngrams(
+    tokens: DataFrame, members: DataFrame, n: int, size: int = VOCAB_SIZE, words: str = "tokens"
+) -> DataFrame:
     """N-grams whose every item is in ``members(word)`` and is no ASCII punctuation.
 
-    One semi join per place. ``members`` is bounded by the vocabulary size, so the planner
-    broadcasts it while that bound is small, and AQE splits hot words where it does not.
+    One semi join per place, with a member table of at most ``size`` rows.
     """
     others = [c for c in tokens.columns if c != words]
     grams = unnest(tokens, word_ngrams(words, n), "gram", "pos", others)
     # the cheap test goes first
     for i in range(n):
         grams = grams.filter(~is_punctuation(F.col("gram")[i]))
-    listed = members.select(F.col("word").alias("member"))
+    listed = members.select(F.col("word").alias("_member"))
     for i in range(n):
-        grams = grams.join(listed, F.col("gram")[i] == F.col("member"), "left_semi")
+        placed = grams.withColumn("_item", F.col("gram")[i])
+        grams = lookup(placed, listed, "_item", "_member", size, "left_semi").drop("_item")
     return grams.select(*others, "pos", join_words("gram").alias("word"))

@@ -14,11 +14,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from wordloom.functions.hashing import digest, record_state, uniform, uniform_np
 from wordloom.operators.encoding import list_column, list_parts
+from wordloom.operators.joins import lookup
 from wordloom.operators.ranking import hash_cut, shuffled_positions
 from wordloom.operators.vocabulary import Vocabulary, most_common
 from wordloom.schemas import NEG_SAMPLE_COUNT, NEG_SAMPLE_POWER, SEED, SPLIT_SHARES, SUBSAMPLE_THRESHOLD
 from wordloom.session import MAX_BROADCAST_BYTES, measured_bytes
 
+COPIES_PER_BLOCK = 10_000
+
 # -- records ---------------------------------------------------------------------------
 
 
@@ -83,14 +86,29 @@ def interleave(
         if rest:
             cut = hash_cut(sources[name], key, hashed, rest)
             upto = upto + (digest(hashed, key) <= cut).cast("int")
-        copied = df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), upto)))
-        parts.append(copied.filter(F.col("copy_no") < upto))
+        parts.append(_copies(df, upto, copies + 1))
     mixed = reduce(DataFrame.unionByName, parts)
     if ordered:
         mixed = mixed.orderBy(digest(seed, "source", "copy_no", key))
     return mixed
 
 
+def _copies(df: DataFrame, times: Column, at_most: int) -> DataFrame:
+    """Each row ``times`` times, with ``copy_no``. Many copies are made block by block, and
+    the blocks of one row go to different tasks."""
+    numbered = df.withColumn("_times", times)
+    if at_most <= COPIES_PER_BLOCK:
+        rows = numbered.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_times"))))
+    else:
+        last = (F.col("_times") / COPIES_PER_BLOCK).cast("int")
+        blocks = numbered.withColumn("_block", F.explode(F.sequence(F.lit(0), last)) * COPIES_PER_BLOCK)
+        blocks = blocks.repartition(F.xxhash64(*blocks.columns))
+        rows = blocks.withColumn(
+            "copy_no", F.explode(F.sequence(F.col("_block"), F.col("_block") + (COPIES_PER_BLOCK - 1)))
+        ).drop("_block")
+    return rows.filter(F.col("copy_no") < F.col("_times")).drop("_times")
+
+
 def shuffle_records(df: DataFrame, epoch: int, key: str = "record_id", seed: int = SEED) -> DataFrame:
     """Rows in a random order of their own for every epoch."""
     return df.orderBy(digest(f"{seed}:{epoch}", key), key)
@@ -137,15 +155,16 @@ def weighted_table(vocabulary: Vocabulary, t: float = SUBSAMPLE_THRESHOLD) -> Da
 def subsample_tokens(
     rows: DataFrame,
     weights: DataFrame,
+    size: int,
     seed: int = SEED,
     key: str = "record_id",
     pos: str = "pos",
     token: str = "token",
 ) -> DataFrame:
     """Thin out frequent words of a long table ``(record, pos, token)``; words without a
-    weight stay."""
+    weight stay. There are weights for at most ``size`` words."""
     listed = weights.select(F.col("word").alias("_word"), "keep_prob")
-    joined = rows.join(listed, F.col(token) == F.col("_word"), "left").drop("_word")
+    joined = lookup(rows, listed, token, "_word", size)
     u = uniform(record_state(seed, key), F.col(pos))
     kept = F.coalesce("keep_prob", F.lit(1.0)) > u
     return joined.filter(kept).drop("keep_prob")
@@ -168,7 +187,9 @@ def subsample_ids(
     table = weighted_table(vocabulary, t).select("id", F.coalesce("keep_prob", F.lit(1.0)).alias("keep_prob"))
     if way == "auto":
         way = "arrow" if 16 * vocabulary.size <= MAX_BROADCAST_BYTES else "join"
-    return _subsample_arrow(encoded, table, seed, key) if way == "arrow" else _subsample_join(encoded, table, seed, key)
+    if way == "arrow":
+        return _subsample_arrow(encoded, table, seed, key)
+    return _subsample_join(encoded, table, vocabulary.size, seed, key)
 
 
 def _subsample_arrow(encoded: DataFrame, table: DataFrame, seed: int, key: str) -> DataFrame:
@@ -198,10 +219,10 @@ def _subsample_arrow(encoded: DataFrame, table: DataFrame, seed: int, key: str)
     return encoded.select(*names, "ids", record_state(seed, key).alias("_state")).mapInArrow(thin, schema)
 
 
-def _subsample_join(encoded: DataFrame, table: DataFrame, seed: int, key: str) -> DataFrame:
+def _subsample_join(encoded: DataFrame, table: DataFrame, size: int, seed: int, key: str) -> DataFrame:
     others = [c for c in encoded.columns if c not in ("ids", "tokens", "attention_mask")]
     rows = encoded.select(*others, F.posexplode_outer("ids").alias("pos", "_token"))
-    joined = rows.join(table, F.col("_token") == F.col("id"), "left")
+    joined = lookup(rows, table, "_token", "id", size)
     u = uniform(record_state(seed, key), F.col("pos"))
     kept = F.when(F.coalesce("keep_prob", F.lit(1.0)) > u, F.struct("pos", F.col("_token").alias("id")))
     return joined.groupBy(*others).agg(

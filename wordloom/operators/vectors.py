@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.operators.encoding import list_parts
-from wordloom.operators.vocabulary import SALTS
+from wordloom.operators.joins import SALTS
 from wordloom.schemas import (
     CHECKPOINT_EVERY,
     EMBED_DIMENSION,
@@ -117,18 +117,18 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / F.when(lengths > 0, lengths)
 
 
-def context_means(
-    examples: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("record_id", "start"), salted: bool = False
-) -> DataFrame:
+def context_means(examples: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("record_id", "start")) -> DataFrame:
     """Mean of the vectors of each example's context ids; ids without a vector count for nothing.
 
-    Each example gathers at most ``2n`` vectors. ``salted`` spreads a frequent id over many
-    tasks where the vectors are too many to broadcast.
+    The vectors are measured and broadcast if they fit; if not, a frequent id is spread over
+    many tasks by salts. Each example gathers at most ``2n`` vectors.
     """
     rows = examples.select(*keys, F.posexplode("context").alias("place", "_id"))
     table = vectors.select(F.col("id").alias("_vid"), "vector")
     on = F.col("_id") == F.col("_vid")
-    if salted:
+    if measured_bytes(table) <= MAX_BROADCAST_BYTES:
+        table = F.broadcast(table)
+    else:
         rows = rows.withColumn("_part", F.pmod(F.xxhash64(*keys, "place"), F.lit(SALTS)).cast("int"))
         table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on = on & (F.col("_part") == F.col("_salt"))

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import parse_words
+from wordloom.operators.joins import attach, lookup
 from wordloom.operators.reshape import drop_rare, infrequent, member_ngrams, unnest
 from wordloom.session import local_table
 from wordloom.schemas import COUNTS, UNK_TOKEN, VOCAB_MIN_FREQ, VOCAB_SIZE, VOCABULARY
 
 # Ids of up to this many words are numbered in one task, on rows already cut to the size.
 ONE_TASK_WORDS = 1_000_000
-SALTS = 32
 
 
 # -- counting --------------------------------------------------------------------------
@@ -40,9 +40,9 @@ def word_counts_rollup(tokens: DataFrame, by: str) -> DataFrame:
     return counts.unionByName(total.withColumn(by, F.lit(None).cast(counts.schema[by].dataType)))
 
 
-def ngram_counts(tokens: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """Count n-grams built only from ``members`` words."""
-    return member_ngrams(tokens, members, n).groupBy("word").agg(F.count("*").alias("cnt"))
+def ngram_counts(tokens: DataFrame, members: DataFrame, n: int, size: int = VOCAB_SIZE) -> DataFrame:
+    """Count n-grams built only from ``members`` words, at most ``size`` of them."""
+    return member_ngrams(tokens, members, n, size).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
 def merge_counts(parts: Sequence[DataFrame]) -> DataFrame:
@@ -183,23 +183,9 @@ class Vocabulary:
     def unk_id(self) -> int | None:
         return self.specials.index(self.unk_token) if self.unk_token else None
 
-    def _needs_salt(self) -> bool:
-        return self.size > ONE_TASK_WORDS
-
     def _lookup(self, df: DataFrame, word: str, columns: Sequence[str], table: DataFrame) -> DataFrame:
-        """Left join of words with table columns.
-
-        The table has at most ``size`` rows and the planner sees that limit, so it picks a
-        broadcast while the bound is small. Beyond, the join shuffles: copies of the table
-        under several salts then spread a hot word over as many tasks.
-        """
-        right = table.select(F.col("word").alias("_word"), *columns)
-        if not self._needs_salt():
-            return df.join(right, F.col(word) == F.col("_word"), "left").drop("_word")
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-        on = (F.col(word) == F.col("_word")) & (F.col("_part") == F.col("_salt"))
-        return left.join(right, on, "left").drop("_word", "_salt", "_part")
+        """Left join of words with columns of the id table."""
+        return lookup(df, table.select(F.col("word").alias("_word"), *columns), word, "_word", self.size)
 
     def word_to_id(self, df: DataFrame, word: str = "word", strict: bool = False) -> DataFrame:
         """Add ``id``; a miss gives the unknown id, or fails if there is none or if strict."""
@@ -215,7 +201,7 @@ class Vocabulary:
     def missing(self, df: DataFrame, word: str = "word") -> DataFrame:
         """Rows whose word does not encode as itself."""
         right = self.encodable.select(F.col("word").alias("_word"))
-        return df.join(right, F.col(word) == F.col("_word"), "left_anti")
+        return lookup(df, right, word, "_word", self.size, "left_anti")
 
     def contains(self, df: DataFrame, word: str = "word") -> DataFrame:
         joined = self._lookup(df, word, ["_id"], self.encodable.withColumnRenamed("id", "_id"))
@@ -223,10 +209,7 @@ class Vocabulary:
 
     def word_frequency(self, df: DataFrame, word: str = "word") -> DataFrame:
         """Add ``cnt``, zero for unseen words."""
-        asked = df.select(word).distinct()
-        found = self.counts.join(asked.select(F.col(word).alias("_word")), F.col("word") == F.col("_word"), "left_semi")
-        right = found.select(F.col("word").alias("_word"), "cnt")
-        joined = df.join(right, F.col(word) == F.col("_word"), "left").drop("_word")
+        joined = attach(df, self.counts.select(F.col("word").alias("_word"), "cnt"), word, "_word")
         return joined.withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("bigint")))
 
     def id_to_word(self, df: DataFrame, id: str = "id") -> DataFrame:
@@ -235,13 +218,13 @@ class Vocabulary:
         numbered = self.table.select(F.col("id").alias("_id"), "word")
         length = self.table.agg(F.count("*").cast("int")).scalar()
         wanted = F.when(F.col(id) < 0, F.col(id) + length).otherwise(F.col(id))
-        joined = df.withColumn("_wanted", wanted).join(numbered, F.col("_wanted") == F.col("_id"), "left")
+        joined = lookup(df.withColumn("_wanted", wanted), numbered, "_wanted", "_id", self.size)
         if self.unk_token:
             word = F.coalesce("word", F.lit(self.unk_token))
         else:
             failure = F.raise_error(F.concat(F.col(id).cast("string"), F.lit(" out of vocab range")))
             word = F.when(F.col("word").isNotNull(), F.col("word")).otherwise(failure.cast("string"))
-        return joined.withColumn("word", word).drop("_wanted", "_id")
+        return joined.withColumn("word", word).drop("_wanted")
 
     def __getitem__(self, item: int | str) -> int | str:
         """Id of one word or word of one id."""
@@ -262,7 +245,10 @@ class Vocabulary:
         """Write counts and id table. An existing vocabulary is not overwritten."""
         self.counts.write.mode("errorifexists").parquet(f"{path}/counts")
         stored = self._with_counts(self.counts.sparkSession.read.schema(COUNTS).parquet(f"{path}/counts"))
-        stored.table.coalesce(1).write.mode("errorifexists").parquet(f"{path}/table")
+        table = stored.table
+        if self.size <= ONE_TASK_WORDS:
+            table = table.coalesce(1)
+        table.write.mode("errorifexists").parquet(f"{path}/table")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **options) -> Vocabulary:

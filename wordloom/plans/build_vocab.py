@@ -52,7 +52,7 @@ def count_passes(
             found = word_counts(tokens)
         else:
             members = Vocabulary(counts, size, min_freq).table.select("word")
-            found = ngram_counts(tokens, members, n)
+            found = ngram_counts(tokens, members, n, size)
         found = drop_rare(found, above)
         counts = found if counts is None else merge_counts([counts, found])
         counts = materialize(counts.select("word", "cnt"), f"counts-{n}")

@@ -206,7 +206,7 @@ def loss_history(spark, sf):
     history = spark.read.schema(schema).json(path)
     lists = history.select("run", F.explode(F.create_map(F.lit("train"), "train", F.lit("val"), "val")).alias("phase", "l"))
     items = lists.select("run", "phase", F.posexplode("l").alias("epoch_no", "loss"))
-    return rounded(items, "loss")
+    return rounded(items, "loss", places=9)
 
 
 @query
@@ -279,13 +279,13 @@ def fitting_records(spark, sf):
 @query
 def member_bigrams(spark, sf):
     members = vocabulary(spark, sf).table.select("word")
-    return rs.member_ngrams(vb.tokenize_corpus(turns(spark, sf)), members, 2)
+    return rs.member_ngrams(vb.tokenize_corpus(turns(spark, sf)), members, 2, SIZE)
 
 
 @query
 def member_trigrams(spark, sf):
     members = vocabulary(spark, sf).table.select("word")
-    return rs.member_ngrams(vb.tokenize_corpus(turns(spark, sf)), members, 3)
+    return rs.member_ngrams(vb.tokenize_corpus(turns(spark, sf)), members, 3, SIZE)
 
 
 @query
@@ -626,7 +626,7 @@ def subsample_words(spark, sf):
 @query
 def subsample_tokens(spark, sf):
     rows = rs.unnest(vb.tokenize_corpus(documents(spark, sf)), F.col("tokens"), "token", "pos", ["record_id"])
-    thin = sp.subsample_tokens(rows, sp.keep_weights(vocabulary(spark, sf)))
+    thin = sp.subsample_tokens(rows, sp.keep_weights(vocabulary(spark, sf)), SIZE)
     return thin.groupBy("record_id").agg(
         F.count("*").alias("n_kept"), F.sum("pos").alias("sum_pos"), F.sum(F.length("token")).alias("n_chars")
     )
@@ -687,12 +687,12 @@ def step_numbers(spark, sf):
 
 @query
 def running_loss(spark, sf):
-    return rounded(mt.logged_running_loss(losses(spark, sf)), "mean_loss")
+    return rounded(mt.logged_running_loss(losses(spark, sf)), "mean_loss", places=9)
 
 
 @query
 def epoch_losses(spark, sf):
-    return rounded(mt.epoch_losses(losses(spark, sf)), "train", "val")
+    return rounded(mt.epoch_losses(losses(spark, sf)), "train", "val", places=9)
 
 
 @query
