@@ -72,14 +72,12 @@ def interleave(
     copies apart. Weights default to the sizes, which uses each row exactly once.
     """
     sizes = {name: df.count() for name, df in sources.items()}
-    sizes = {name: n for name, n in sizes.items() if n}
-    if not sizes:
-        raise ValueError("every source is empty")
-    weights = weights or {name: n / sum(sizes.values()) for name, n in sizes.items()}
-    total = max(n / weights[name] for name, n in sizes.items())
+    sizes = {name: n for name, n in sizes.items() if n} or {name: 0 for name in list(sizes)[:1]}
+    weights = weights or {name: n / max(sum(sizes.values()), 1) for name, n in sizes.items()}
+    total = max(n / weights[name] if n else 0 for name, n in sizes.items())
     parts = []
     for name, n in sizes.items():
-        copies, rest = divmod(int(total * weights[name] + 0.5), n)
+        copies, rest = divmod(int(total * weights[name] + 0.5), max(n, 1))
         df = sources[name].withColumn("source", F.lit(name))
         hashed = f"{seed}:{name}"
         upto = F.lit(copies)
@@ -101,11 +99,13 @@ def _copies(df: DataFrame, times: Column, at_most: int) -> DataFrame:
         rows = numbered.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_times"))))
     else:
         last = (F.col("_times") / COPIES_PER_BLOCK).cast("int")
-        blocks = numbered.withColumn("_block", F.explode(F.sequence(F.lit(0), last)) * COPIES_PER_BLOCK)
-        blocks = blocks.repartition(F.xxhash64(*blocks.columns))
-        rows = blocks.withColumn(
-            "copy_no", F.explode(F.sequence(F.col("_block"), F.col("_block") + (COPIES_PER_BLOCK - 1)))
-        ).drop("_block")
+        blocks = numbered.withColumn("_block", F.explode(F.sequence(F.lit(0), last)))
+        first = F.col("_block") * COPIES_PER_BLOCK
+        rows = (
+            blocks.repartition(F.xxhash64(*blocks.columns))
+            .withColumn("copy_no", F.explode(F.sequence(first, first + (COPIES_PER_BLOCK - 1))))
+            .drop("_block")
+        )
     return rows.filter(F.col("copy_no") < F.col("_times")).drop("_times")
 
 

@@ -39,9 +39,9 @@ def describe(df: DataFrame, value: str) -> DataFrame:
     )
     variance = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)
     return summed.select(
-        F.col("n").alias("count"),
+        F.coalesce("n", F.lit(0)).alias("count"),
         (F.col("s1") / F.when(F.col("n") > 0, F.col("n"))).alias("mean"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"),
+        F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("std"),
         "min",
         F.col("q")[0].alias("p25"),
         F.col("q")[1].alias("p50"),

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.text import parse_words
 from wordloom.operators.joins import attach, lookup
@@ -90,7 +91,7 @@ def most_common(counts: DataFrame, k: int) -> DataFrame:
 
 def _number_sorted(ordered: DataFrame) -> DataFrame:
     """Rank of every row of a sorted table, numbered partition by partition."""
-    schema = ordered.schema.add("rank", "int")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("rank", T.IntegerType())])
     numbered = ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
     return ordered.sparkSession.createDataFrame(numbered, schema)
 
