@@ -149,14 +149,14 @@ def test_analogy(vectors, matrix):
     assert [r.id for r in rows] == order and rows[0].similarity == pytest.approx(scores[order[0]])
 
 
-@pytest.mark.parametrize("fits", [True, False])
-def test_context_means(spark, vectors, matrix, fits, monkeypatch):
-    if not fits:
-        monkeypatch.setattr(vc, "MAX_BROADCAST_BYTES", 0)
-    ex = spark.createDataFrame([(1, 0, [0, 1, 1, 5]), (1, 1, [3, 99])], "record_id long, start int, context array<int>")
-    got = {r.start: r["mean"] for r in vc.context_means(ex, vectors).collect()}
-    assert got[0] == pytest.approx(list(matrix[[0, 1, 1, 5]].astype(float).mean(axis=0)))
-    assert got[1] == pytest.approx(list(matrix[3].astype(float)))
+@pytest.mark.parametrize("way", ["arrow", "join", "auto"])
+def test_context_means(spark, vectors, matrix, way):
+    rows = [(1, 0, [0, 1, 1, 5]), (1, 1, [3, 99]), (2, 0, [77, -1]), (2, 1, [])]
+    ex = spark.createDataFrame(rows, "record_id long, start int, context array<int>").repartition(2)
+    got = {(r.record_id, r.start): r["mean"] for r in vc.context_means(ex, vectors, way=way).collect()}
+    assert set(got) == {(1, 0), (1, 1)}
+    assert got[1, 0] == pytest.approx(list(matrix[[0, 1, 1, 5]].astype(float).mean(axis=0)))
+    assert got[1, 1] == pytest.approx(list(matrix[3].astype(float)))
 
 
 def test_scores_match_brute_force(spark, vectors, matrix):

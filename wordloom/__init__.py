@@ -1,3 +1,10 @@
 """Corpus preparation and word-vector data work, expressed as Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

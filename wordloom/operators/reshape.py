@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.functions.text import ASCII_PUNCTUATION, join_words, word_ngrams
+from wordloom.functions.text import ASCII_PUNCTUATION
 from wordloom.operators.joins import lookup
 from wordloom.schemas import VOCAB_SIZE
 
@@ -105,12 +105,16 @@ def member_ngrams(
     One semi join per place, with a member table of at most ``size`` rows.
     """
     others = [c for c in tokens.columns if c != words]
-    grams = unnest(tokens, word_ngrams(words, n), "gram", "pos", others)
+    w = F.col(words)
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n))
+    items = [f"_w{i}" for i in range(n)]
+    grams = unnest(tokens, starts, "_item", "pos", [*others, words]).select(
+        *others, "pos", *[w[F.col("_item") + i].alias(item) for i, item in enumerate(items)]
+    )
     # the cheap test goes first
-    for i in range(n):
-        grams = grams.filter(~is_punctuation(F.col("gram")[i]))
+    for item in items:
+        grams = grams.filter(~is_punctuation(item))
     listed = members.select(F.col("word").alias("_member"))
-    for i in range(n):
-        placed = grams.withColumn("_item", F.col("gram")[i])
-        grams = lookup(placed, listed, "_item", "_member", size, "left_semi").drop("_item")
-    return grams.select(*others, "pos", join_words("gram").alias("word"))
+    for item in items:
+        grams = lookup(grams, listed, item, "_member", size, "left_semi")
+    return grams.select(*others, "pos", F.concat_ws(" ", *items).alias("word"))

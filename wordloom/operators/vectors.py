@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.operators.encoding import list_parts
+from wordloom.operators.encoding import list_column, list_parts
 from wordloom.operators.joins import SALTS
 from wordloom.schemas import (
     CHECKPOINT_EVERY,
@@ -117,23 +117,79 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / F.when(lengths > 0, lengths)
 
 
-def context_means(examples: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("record_id", "start")) -> DataFrame:
-    """Mean of the vectors of each example's context ids; ids without a vector count for nothing.
+def context_means(
+    examples: DataFrame,
+    vectors: DataFrame,
+    keys: Sequence[str] = ("record_id", "start"),
+    way: str = "auto",
+) -> DataFrame:
+    """Mean of the vectors of each example's context ids. An id without a vector counts for
+    nothing, and an example without any vector disappears.
 
-    The vectors are measured and broadcast if they fit; if not, a frequent id is spread over
-    many tasks by salts. Each example gathers at most ``2n`` vectors.
+    Vectors that were measured to fit are broadcast and examples stay in place. If not, ids
+    are joined with the vectors under salts, which spread a frequent id over many tasks, and
+    each example gathers its ``2n`` vectors at most.
     """
+    table = vectors.select("id", "vector")
+    if way == "auto":
+        way = "arrow" if measured_bytes(table) <= MAX_BROADCAST_BYTES else "join"
+    found = examples.select(*keys, "context")
+    return _means_arrow(found, table, keys) if way == "arrow" else _means_join(found, table, keys)
+
+
+def _matrix(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their vectors as the rows of a matrix, of a table measured before."""
+    found = table.orderBy("id").toArrow()
+    column = found["vector"].combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return found["id"].to_numpy(), flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
+
+
+def _means_arrow(examples: DataFrame, table: DataFrame, keys: Sequence[str], rows_at_once: int = 2048) -> DataFrame:
+    shipped = examples.sparkSession.sparkContext.broadcast(_matrix(table))
+    schema = T.StructType(
+        [*[examples.schema[k] for k in keys], T.StructField("mean", T.ArrayType(T.DoubleType()))]
+    )
+
+    def average(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, matrix = shipped.value
+        if not len(known):
+            return
+        # one more row, of zeros, for ids without a vector
+        padded = np.vstack([matrix, np.zeros((1, matrix.shape[1]), matrix.dtype)])
+        for whole in record_batches:
+            for at in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(at, rows_at_once)
+                flat, offsets = list_parts(batch.column("context"))
+                ids = flat.to_numpy(zero_copy_only=False)
+                row = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                row = np.where(known[row] == ids, row, len(known))
+                lengths = np.diff(offsets)
+                place = np.full((batch.num_rows, max(int(lengths.max()), 1)), len(known))
+                owner = np.repeat(np.arange(batch.num_rows), lengths)
+                place[owner, np.arange(len(ids)) - np.repeat(offsets[:-1], lengths)] = row
+                n = (place < len(known)).sum(axis=1)
+                keep = n > 0
+                means = padded[place[keep]].sum(axis=1, dtype=np.float64) / n[keep][:, None]
+                ends = np.arange(len(means) + 1) * matrix.shape[1]
+                kept = batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(
+                    [*[kept.column(k) for k in keys], list_column(ends, pa.array(means.ravel()))],
+                    names=[*keys, "mean"],
+                )
+
+    return examples.mapInArrow(average, schema)
+
+
+def _means_join(examples: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = examples.select(*keys, F.posexplode("context").alias("place", "_id"))
-    table = vectors.select(F.col("id").alias("_vid"), "vector")
-    on = F.col("_id") == F.col("_vid")
-    if measured_bytes(table) <= MAX_BROADCAST_BYTES:
-        table = F.broadcast(table)
-    else:
-        rows = rows.withColumn("_part", F.pmod(F.xxhash64(*keys, "place"), F.lit(SALTS)).cast("int"))
-        table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = on & (F.col("_part") == F.col("_salt"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*keys, "place"), F.lit(SALTS)).cast("int"))
+    copies = table.select(
+        F.col("id").alias("_vid"), "vector", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    )
+    on = (F.col("_id") == F.col("_vid")) & (F.col("_part") == F.col("_salt"))
     gathered = (
-        rows.join(table, on)
+        rows.join(copies, on)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("place", "vector"))).alias("_found"))
     )
@@ -187,19 +243,12 @@ def score_examples(
     rows, measured before they are broadcast. Examples never move.
     """
     output = embeddings.withColumn("bias", F.lit(0.0)) if output is None else output
-
-    def matrix(df: DataFrame) -> np.ndarray:
-        if measured_bytes(df.select("vector")) > MAX_BROADCAST_BYTES:
+    for table in (embeddings, output):
+        if measured_bytes(table.select("id", "vector")) > MAX_BROADCAST_BYTES:
             raise ValueError("the weights are too large to broadcast; lower the vocabulary size or dimension")
-        return df.orderBy("id").select("vector").toArrow()["vector"]
-
-    def rows(column: pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(column), -1).astype(np.float64)
-
-    spark = examples.sparkSession
     bias = output.orderBy("id").select(F.col("bias").cast("double")).toArrow()["bias"].to_numpy()
-    shipped = spark.sparkContext.broadcast((rows(matrix(embeddings)), rows(matrix(output)), bias))
+    embed, weights = (_matrix(t.select("id", "vector"))[1].astype(np.float64) for t in (embeddings, output))
+    shipped = examples.sparkSession.sparkContext.broadcast((embed, weights, bias))
     schema = T.StructType(
         [*[f for f in examples.schema.fields if f.name != "context"], T.StructField("loss", T.DoubleType())]
     )

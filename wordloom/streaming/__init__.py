@@ -12,6 +12,7 @@ from wordloom.operators.encoding import Encoder
 from wordloom.operators.reshape import select_key
 from wordloom.operators.vocabulary import merge_counts, tokenize_corpus, word_counts
 from wordloom.schemas import COUNTS
+from wordloom.session import spread
 from wordloom.sources.corpora import apply_steps
 
 
@@ -50,7 +51,7 @@ def collect_counts(stream: DataFrame, path: str, checkpoint: str, **trigger) ->
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        counted = word_counts(tokenize_corpus(batch))
+        counted = word_counts(tokenize_corpus(spread(batch, "record_id")))
         counted.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
