@@ -15,6 +15,9 @@ TABLES = (
 )
 
 
+FAMILY = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -43,6 +46,11 @@ def compare(spark, con, name, query, sql, sf):
     if sql is None:
         return seconds, len(got), None if got else "no rows"
     cursor = con.execute(sql)
+    types = {d[0]: str(d[1]) for d in cursor.description}
+    odd = {f.name: (FAMILY.get(f.dataType.simpleString(), "?"), types.get(f.name)) for f in df.schema.fields}
+    odd = {k: v for k, v in odd.items() if v[0] != v[1]}
+    if odd:
+        return seconds, len(got), f"types {odd}"
     want, want_columns = rows_of([d[0] for d in cursor.description], cursor.fetchall())
     if got_columns != want_columns:
         return seconds, len(got), f"columns {got_columns} instead of {want_columns}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -128,6 +128,18 @@ def collate(df: DataFrame, size: int, columns: Sequence[str], key: str = "record
     )
 
 
+def map_batches(
+    df: DataFrame,
+    size: int,
+    fn: Callable[[pa.Table], pa.Table],
+    schema: str | T.StructType,
+    key: str = "record_id",
+    seed: int = SEED,
+) -> DataFrame:
+    """Run a user's collate function on each batch of ``size`` records as an Arrow table."""
+    return batches(df, size, key, seed).groupBy("batch_no").applyInArrow(fn, schema)
+
+
 # -- words -----------------------------------------------------------------------------
 
 

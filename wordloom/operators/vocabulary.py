@@ -18,6 +18,8 @@ from wordloom.schemas import COUNTS, UNK_TOKEN, VOCAB_MIN_FREQ, VOCAB_SIZE, VOCA
 # Ids of up to this many words are numbered in one task, on rows already cut to the size.
 ONE_TASK_WORDS = 1_000_000
 
+OPTIONS = "size int, min_freq int, unk_token string, special_tokens array<string>"
+
 
 # -- counting --------------------------------------------------------------------------
 
@@ -119,6 +121,7 @@ class Vocabulary:
         self.special_tokens = list(special_tokens or [])
         listed = ([self.unk_token] if self.unk_token else []) + self.special_tokens
         self.specials = list(dict.fromkeys(listed))
+        self._stored: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession, **options) -> Vocabulary:
@@ -147,6 +150,8 @@ class Vocabulary:
     @property
     def table(self) -> DataFrame:
         """``(id, word, cnt, is_special, is_infrequent)``, at most ``size`` rows."""
+        if self._stored is not None:
+            return self._stored
         spark = self.counts.sparkSession
         first = len(self.specials)
         words = self.counts.filter(~F.col("word").isin(self.specials)) if self.specials else self.counts
@@ -242,18 +247,34 @@ class Vocabulary:
 
     # storage
 
+    def _options(self) -> dict:
+        return {
+            "size": self.size,
+            "min_freq": self.min_freq,
+            "unk_token": self.unk_token,
+            "special_tokens": self.special_tokens,
+        }
+
     def save(self, path: str) -> None:
-        """Write counts and id table. An existing vocabulary is not overwritten."""
+        """Write counts, id table and options. An existing vocabulary is not overwritten."""
+        spark = self.counts.sparkSession
         self.counts.write.mode("errorifexists").parquet(f"{path}/counts")
-        stored = self._with_counts(self.counts.sparkSession.read.schema(COUNTS).parquet(f"{path}/counts"))
-        table = stored.table
+        table = self._with_counts(spark.read.schema(COUNTS).parquet(f"{path}/counts")).table
         if self.size <= ONE_TASK_WORDS:
             table = table.coalesce(1)
         table.write.mode("errorifexists").parquet(f"{path}/table")
+        options = local_table(spark, [tuple(self._options().values())], OPTIONS)
+        options.coalesce(1).write.mode("errorifexists").parquet(f"{path}/options")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **options) -> Vocabulary:
-        return cls(load_counts(spark, path), **options)
+        """Read a saved vocabulary. With its own options the saved id table serves; other
+        options number the counts anew."""
+        saved = spark.read.schema(OPTIONS).parquet(f"{path}/options").first().asDict()
+        vocabulary = cls(load_counts(spark, path), **{**saved, **options})
+        if vocabulary._options() == saved:
+            vocabulary._stored = spark.read.schema(VOCABULARY).parquet(f"{path}/table")
+        return vocabulary
 
 
 def load_counts(spark: SparkSession, *paths: str) -> DataFrame:

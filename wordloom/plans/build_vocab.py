@@ -64,7 +64,7 @@ def build(corpus: DataFrame, path: str, **options) -> Vocabulary:
     chosen = {k: v for k, v in options.items() if k in ("size", "min_freq")}
     vocabulary = Vocabulary(counts, **chosen)
     vocabulary.save(path)
-    return Vocabulary.load(corpus.sparkSession, path, **chosen)
+    return Vocabulary.load(corpus.sparkSession, path)
 
 
 def main(argv: Sequence[str] | None = None, registry: Mapping[str, Corpus] = MANAGED) -> str:

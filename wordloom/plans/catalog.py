@@ -10,10 +10,13 @@ import re
 from collections.abc import Callable
 from functools import partial
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom import streaming
 from wordloom.functions import text as tx
 from wordloom.functions.numeric import gelu, gradient, leaky_relu, relu, sigmoid, swish, tanh
 from wordloom.operators import examples as ex
@@ -30,7 +33,6 @@ from wordloom.plans.recipes import RECIPES
 from wordloom.schemas import END_TOKEN, START_TOKEN
 from wordloom.session import local_table, materialize, shared_dir, spread
 from wordloom.sources import corpora, run_logs
-from wordloom import streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,13 +61,13 @@ def documents(spark: SparkSession, sf: str, where: str | None = None) -> DataFra
 
 
 def benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    return rs.select_key(table(spark, sf, "benchmark"), record_id="item_id")
+    return spread(rs.select_key(table(spark, sf, "benchmark"), record_id="item_id"), "record_id")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as a corpus."""
     t = table(spark, sf, "conversations")
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), "text")
+    return spread(t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), "text"), "record_id")
 
 
 def registry() -> dict[str, corpora.Corpus]:
@@ -176,7 +178,7 @@ def count_records(spark, sf):
 def save_load_vocabulary(spark, sf):
     path = shared_dir(spark, "vocab")
     vocabulary(spark, sf, stored=False).save(path)
-    return vb.Vocabulary.load(spark, path, size=SIZE, special_tokens=SPECIALS).table
+    return vb.Vocabulary.load(spark, path).table
 
 
 @query
@@ -611,6 +613,23 @@ def collate_batches(spark, sf):
     )
 
 
+def batch_totals(batch: pa.Table) -> pa.Table:
+    """Stands for a user's collate function: one batch in, any rows out."""
+    return pa.table(
+        {
+            "batch_no": batch["batch_no"].slice(0, 1),
+            "n_records": pa.array([batch.num_rows], pa.int64()),
+            "n_chars": pa.array([pc.sum(batch["n_chars"]).as_py()], pa.int64()),
+        }
+    )
+
+
+@query
+def collate_function(spark, sf):
+    sizes = documents(spark, sf).select("record_id", F.length("text").alias("n_chars"))
+    return sp.map_batches(sizes, 64, batch_totals, "batch_no bigint, n_records bigint, n_chars bigint")
+
+
 @query
 def keep_weights(spark, sf):
     return rounded(sp.keep_weights(vocabulary(spark, sf)), "keep_prob")

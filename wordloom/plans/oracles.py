@@ -455,6 +455,8 @@ ORACLES["record_batches"] = with_(BATCHES) + "SELECT record_id, batch_no FROM ba
 ORACLES["collate_batches"] = with_(BATCHES) + """
 SELECT batch_no, count(*)::INT AS n_records, string_agg(n_chars::VARCHAR, ' ' ORDER BY record_id) AS sizes
 FROM batches GROUP BY batch_no"""
+ORACLES["collate_function"] = with_(BATCHES) + """
+SELECT batch_no, count(*) AS n_records, sum(n_chars)::BIGINT AS n_chars FROM batches GROUP BY batch_no"""
 ORACLES["keep_weights"] = with_(*COUNTS, WEIGHTS) + "SELECT word, cnt, round(keep_prob, 6) AS keep_prob FROM weights"
 ORACLES["subsample_words"] = with_(*ENC, WEIGHTS) + f"""
 SELECT record_id, coalesce(string_agg(id::VARCHAR, ' ' ORDER BY pos) FILTER (p > u), '') AS ids FROM (
