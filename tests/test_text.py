@@ -138,6 +138,10 @@ def test_detokenize(column):
         "  spaces \t\n collapse  ": "spaces collapse",
         "I can not , you 'll wan na go -- yes ?": "I cannot, you'll wanna go--yes?",
         "a ... b": "a...b",
+        "d 'ye gim me Gon na got ta LEM ME more 'n wan na can not toucan not": (
+            "d'ye gimme Gonna gotta LEMME more'n wanna cannot toucan not"
+        ),
+        "'t is 't was": "'tis 'twas",
         "pay $ 5 ; now": "pay $5; now",
         "-LRB- x -RRB-": "-LRB- x -RRB-",
         "": "",

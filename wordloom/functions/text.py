@@ -199,10 +199,13 @@ JOINED_PAIRS = [
     ("wan", "na"),
 ]
 
+# the space inside any of these pairs
+PAIR_GAP = r"(?i)\s(?:" + "|".join(rf"(?<=\b{a}\s)(?={b}\b)" for a, b in JOINED_PAIRS) + ")"
+
 # fixed values: spacing rules, applied in order to a text padded with one space on each side
 DETOKENIZE_PADDED = [
     (r"(?i) ('t)\s(is|was)\b", " $1$2"),
-    *[(rf"(?i)\b({a})\s({b})\b", "$1$2") for a, b in JOINED_PAIRS],
+    (PAIR_GAP, ""),
     (r"([^' ])\s('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1$2 "),
     (r"([^' ])\s('[sS]|'[mM]|'[dD]|') ", "$1$2 "),
     (r"(\S)\s('')", "$1$2"),

@@ -145,6 +145,17 @@ def _matrix(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["id"].to_numpy(), flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
+def _mean_rows(padded: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the listed matrix rows per example, and how many there were. The last row of
+    the matrix holds zeros and stands for no vector."""
+    none, lengths = len(padded) - 1, np.diff(offsets)
+    place = np.full((len(lengths), max(int(lengths.max(initial=0)), 1)), none)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place[owner, np.arange(len(rows)) - np.repeat(offsets[:-1], lengths)] = rows
+    n = (place < none).sum(axis=1)
+    return padded[place].sum(axis=1, dtype=np.float64) / np.maximum(n, 1)[:, None], n
+
+
 def _means_arrow(examples: DataFrame, table: DataFrame, keys: Sequence[str], rows_at_once: int = 2048) -> DataFrame:
     shipped = examples.sparkSession.sparkContext.broadcast(_matrix(table))
     schema = T.StructType(
@@ -164,13 +175,9 @@ def _means_arrow(examples: DataFrame, table: DataFrame, keys: Sequence[str], row
                 ids = flat.to_numpy(zero_copy_only=False)
                 row = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 row = np.where(known[row] == ids, row, len(known))
-                lengths = np.diff(offsets)
-                place = np.full((batch.num_rows, max(int(lengths.max()), 1)), len(known))
-                owner = np.repeat(np.arange(batch.num_rows), lengths)
-                place[owner, np.arange(len(ids)) - np.repeat(offsets[:-1], lengths)] = row
-                n = (place < len(known)).sum(axis=1)
+                means, n = _mean_rows(padded, row, offsets)
                 keep = n > 0
-                means = padded[place[keep]].sum(axis=1, dtype=np.float64) / n[keep][:, None]
+                means = means[keep]
                 ends = np.arange(len(means) + 1) * matrix.shape[1]
                 kept = batch.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
@@ -256,12 +263,12 @@ def score_examples(
 
     def score(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed, weights, biases = shipped.value
+        padded = np.vstack([embed, np.zeros((1, embed.shape[1]))])
         for whole in record_batches:
             for at in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(at, rows_at_once)
                 flat, offsets = list_parts(batch.column("context"))
-                ids = flat.to_numpy(zero_copy_only=False)
-                means = np.add.reduceat(embed[ids], offsets[:-1], axis=0) / np.diff(offsets)[:, None]
+                means, _ = _mean_rows(padded, flat.to_numpy(zero_copy_only=False), offsets)
                 logits = means @ weights.T + biases
                 peak = logits.max(axis=1)
                 log_sum = peak + np.log(np.exp(logits - peak[:, None]).sum(axis=1))

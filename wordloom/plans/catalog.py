@@ -130,8 +130,9 @@ def joined(c: str | Column) -> Column:
     return F.array_join(c.cast("array<string>"), " ")
 
 
-def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+def rounded(df: DataFrame, *columns: str, places: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round columns; a nudge settles values that lie exactly between two results."""
+    return df.withColumns({c: F.round(F.col(c) + nudge if nudge else F.col(c), places) for c in columns})
 
 
 # -- sources and sinks -----------------------------------------------------------------
@@ -208,7 +209,7 @@ def loss_history(spark, sf):
     history = spark.read.schema(schema).json(path)
     lists = history.select("run", F.explode(F.create_map(F.lit("train"), "train", F.lit("val"), "val")).alias("phase", "l"))
     items = lists.select("run", "phase", F.posexplode("l").alias("epoch_no", "loss"))
-    return rounded(items, "loss", places=9)
+    return rounded(items, "loss", places=9, nudge=1e-11)
 
 
 @query
@@ -706,12 +707,12 @@ def step_numbers(spark, sf):
 
 @query
 def running_loss(spark, sf):
-    return rounded(mt.logged_running_loss(losses(spark, sf)), "mean_loss", places=9)
+    return rounded(mt.logged_running_loss(losses(spark, sf)), "mean_loss", places=9, nudge=1e-11)
 
 
 @query
 def epoch_losses(spark, sf):
-    return rounded(mt.epoch_losses(losses(spark, sf)), "train", "val", places=9)
+    return rounded(mt.epoch_losses(losses(spark, sf)), "train", "val", places=9, nudge=1e-11)
 
 
 @query
@@ -811,7 +812,7 @@ def gelu_activation(spark, sf):
 @query
 def series_gradient(spark, sf):
     log = losses(spark, sf).select("run", "step", "loss")
-    return rounded(gradient(log, ["run"], "step", "loss", "slope").select("run", "step", "slope"), "slope")
+    return rounded(gradient(log, ["run"], "step", "loss", "slope").select("run", "step", "slope"), "slope", nudge=1e-9)
 
 
 @query
@@ -920,7 +921,9 @@ DOCUMENTS = T.StructType(
 
 
 def arriving(spark, sf) -> DataFrame:
-    return streaming.read_stream(spark, sf, DOCUMENTS, "text", "doc_id", "documents.parquet")
+    # the table is one file; spread it as a folder of many files would be
+    stream = streaming.read_stream(spark, sf, DOCUMENTS, "text", "doc_id", "documents.parquet")
+    return stream.repartition(2 * spark.sparkContext.defaultParallelism, "record_id")
 
 
 @query

@@ -179,7 +179,7 @@ ORACLES["merge_vocabularies"] = (
 )
 ORACLES["log_metrics"] = with_(LOSSES) + "SELECT run, phase, epoch, step, loss FROM losses WHERE step % 25 = 24"
 ORACLES["loss_history"] = with_(LOSSES) + """
-SELECT run, phase, (row_number() OVER (PARTITION BY run, phase ORDER BY epoch) - 1)::INT AS epoch_no, round(loss, 9) AS loss
+SELECT run, phase, (row_number() OVER (PARTITION BY run, phase ORDER BY epoch) - 1)::INT AS epoch_no, round(loss + 1e-11, 9) AS loss
 FROM (SELECT run, phase, epoch, avg(loss) AS loss FROM losses GROUP BY run, phase, epoch)"""
 
 # -- projection, filters, reshaping ----------------------------------------------------
@@ -507,11 +507,11 @@ ORACLES["words_at_ranks"] = (
 ORACLES["step_numbers"] = with_(LOSSES) + """
 SELECT run, epoch, step AS id, row_number() OVER (PARTITION BY run, epoch ORDER BY step) - 1 AS step FROM losses"""
 ORACLES["running_loss"] = with_(LOSSES) + """
-SELECT run, epoch, step, round(m, 9) AS mean_loss FROM (
+SELECT run, epoch, step, round(m + 1e-11, 9) AS mean_loss FROM (
   SELECT *, avg(loss) OVER (PARTITION BY run, epoch ORDER BY step ROWS UNBOUNDED PRECEDING) AS m FROM losses)
 WHERE step % 25 = 24"""
 ORACLES["epoch_losses"] = with_(LOSSES) + """
-SELECT run, epoch, round(avg(loss) FILTER (phase = 'train'), 9) AS train, round(avg(loss) FILTER (phase = 'val'), 9) AS val
+SELECT run, epoch, round(avg(loss) FILTER (phase = 'train') + 1e-11, 9) AS train, round(avg(loss) FILTER (phase = 'val') + 1e-11, 9) AS val
 FROM losses GROUP BY run, epoch"""
 ORACLES["learning_rates"] = with_(LOSSES) + """
 SELECT epoch, count(*) AS n_steps, round(0.025 * ((SELECT max(epoch) + 1 FROM losses) - epoch) / (SELECT max(epoch) + 1 FROM losses), 6) AS rate
@@ -569,7 +569,7 @@ def slope(series: str, x: str, y: str, source: str) -> str:
 
 
 ORACLES["series_gradient"] = (
-    with_(LOSSES) + f"SELECT run, step, round(slope, 6) AS slope FROM ({slope('run', 'step', 'loss', 'losses')})"
+    with_(LOSSES) + f"SELECT run, step, round(slope + 1e-9, 6) AS slope FROM ({slope('run', 'step', 'loss', 'losses')})"
 )
 ORACLES["activation_gradient"] = (
     with_(COMPONENTS, "curve AS (SELECT DISTINCT label, x, x / (1 + exp(-x)) AS y FROM x)")

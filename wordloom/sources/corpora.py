@@ -106,15 +106,14 @@ def prepare(
     writing job observes on its way; no pass is spent on counting.
 
     The output has the partitions of the input, and at least 32; ``shards`` asks for an exact
-    number of files. Saved work is not overwritten.
+    number of files. Either way rows are spread before the steps, so steps, counts and files
+    are one stage, in which a repeated task counts once. Saved work is not overwritten.
     """
     before, after = Observation("before"), Observation("after")
-    wide = spread(corpus, "record_id", at_least=N_SHARDS)
+    wide = corpus.repartition(shards) if shards else spread(corpus, "record_id", at_least=N_SHARDS)
     seen = wide.observe(before, F.count(F.lit(1)).alias("n"))
     done = apply_steps(seen, default_steps() if steps is None else steps)
     done = done.observe(after, F.count(F.lit(1)).alias("n"))
-    if shards is not None:
-        done = done.repartition(shards)
     try:
         done.write.mode("errorifexists").parquet(save_dir)
     except AnalysisException as error:
