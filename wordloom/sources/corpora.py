@@ -113,6 +113,8 @@ def prepare(
     wide = corpus.repartition(shards) if shards else spread(corpus, "record_id", at_least=N_SHARDS)
     seen = wide.observe(before, F.count(F.lit(1)).alias("n"))
     done = apply_steps(seen, default_steps() if steps is None else steps)
+    if shards:
+        done = done.coalesce(shards)  # a step over the table may have added partitions
     done = done.observe(after, F.count(F.lit(1)).alias("n"))
     try:
         done.write.mode("errorifexists").parquet(save_dir)
