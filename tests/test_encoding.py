@@ -42,6 +42,13 @@ def test_encode(corpus, vocab, way, monkeypatch):
     assert all(r.attention_mask == [1] * len(r.ids) for r in rows) and len(rows) == 5
 
 
+@pytest.mark.parametrize("way", ["arrow", "join"])
+def test_ids_alone(corpus, vocab, way):
+    rows = en.Encoder(vocab).encode(corpus, way=way, with_tokens=False)
+    assert rows.columns == ["record_id", "ids", "attention_mask"]
+    assert {r.record_id: r.ids for r in rows.collect()} == {k: ids for k, (_, ids) in EXPECTED.items()}
+
+
 def test_large_vocabulary_takes_the_join(corpus, vocab):
     encoder = en.Encoder(vocab, max_broadcast_bytes=10)
     plan = encoder.encode(corpus)._jdf.queryExecution().toString()

@@ -262,3 +262,18 @@ def test_skipgram(spark):
     pairs = ex.skipgram_pairs(windows.withColumn("negatives", F.array(F.lit(99), F.lit(98)))).collect()
     assert {p.label for p in pairs if p.target >= 98} == {0} and {p.label for p in pairs if p.target < 98} == {1}
     assert all(abs(p.target - p.center) <= 4 for p in pairs if p.label)
+
+
+def test_examples_move_no_data(spark, heavy, tmp_path):
+    path = str(tmp_path / "enc")
+    spark.createDataFrame([("a:0", [0, 1, 2] * 10)], "record_id string, ids array<int>").write.parquet(path)
+    stored = spark.read.parquet(path)
+    plan = ex.cbow_examples(stored, heavy)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    mixed = sp.interleave({"a": stored, "b": stored}, {"a": 0.3, "b": 0.7})
+    assert mixed.count() == 3 and mixed.filter("record_id = 'a:0'").count() == 3
+
+
+def test_windows_of_one_long_record(spark):
+    df = spark.range(1).select(F.col("id").alias("record_id"), F.sequence(F.lit(0), F.lit(299_999)).alias("ids"))
+    assert ex.context_windows(df, 4).agg(F.count("*"), F.max("window")[0]).first()[:] == (299_992, 299_991)

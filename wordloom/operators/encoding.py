@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,18 +63,22 @@ class Encoder:
         self.max_broadcast_bytes = max_broadcast_bytes
         self._shipped = None
 
-    def encode(self, corpus: DataFrame, key: str = "text", way: str = "auto") -> DataFrame:
-        """Add the three arrays to a corpus, replacing the text."""
+    def encode(self, corpus: DataFrame, key: str = "text", way: str = "auto", with_tokens: bool = True) -> DataFrame:
+        """Add the three arrays to a corpus, replacing the text. Training needs only the ids;
+        without tokens no text travels back from the lookup."""
         words = parse_words(key, self.normalizer, self.splitter)
         others = [c for c in corpus.columns if c != key]
         split = corpus.select(*others, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-        return self.encode_words(split, way)
+        return self.encode_words(split, way, with_tokens)
 
-    def encode_words(self, split: DataFrame, way: str = "auto") -> DataFrame:
+    def encode_words(self, split: DataFrame, way: str = "auto", with_tokens: bool = True) -> DataFrame:
         """Encode an array column ``words`` that is split already."""
         if way == "auto":
             way = "arrow" if self._ship() else "join"
-        encoded = self._encode_arrow(split) if way == "arrow" else self._encode_join(split)
+        if way == "arrow":
+            encoded = self._encode_arrow(split, with_tokens)
+        else:
+            encoded = self._encode_join(split, with_tokens)
         return encoded.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("ids")))
 
     def encode_pair(self, pairs: DataFrame, first: str, second: str, way: str = "auto") -> DataFrame:
@@ -114,18 +118,15 @@ class Encoder:
                 words.unpersist()
         return self._shipped
 
-    def _encode_arrow(self, split: DataFrame) -> DataFrame:
+    def _encode_arrow(self, split: DataFrame, with_tokens: bool) -> DataFrame:
         shipped = self._ship()
         if not shipped:
             raise ValueError("the vocabulary is too large to broadcast; use way='join'")
         others = [f for f in split.schema.fields if f.name != "words"]
-        schema = T.StructType(
-            [
-                *others,
-                T.StructField("ids", T.ArrayType(T.IntegerType())),
-                T.StructField("tokens", T.ArrayType(T.StringType())),
-            ]
-        )
+        added = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+        if with_tokens:
+            added.append(T.StructField("tokens", T.ArrayType(T.StringType())))
+        schema = T.StructType([*others, *added])
         out_schema = to_arrow_schema(schema)
         names = [f.name for f in others]
         start, end, start_id, end_id = self.start, self.end, self.start_id, self.end_id
@@ -148,7 +149,9 @@ class Encoder:
                 places[places < 0] = np.asarray(found)
                 ids = pa.array(numbers[places], pa.int32())
                 arrays = [batch.column(batch.schema.get_field_index(name)) for name in names]
-                arrays += [list_column(wrapped, ids), list_column(wrapped, texts.take(pa.array(places)))]
+                arrays.append(list_column(wrapped, ids))
+                if with_tokens:
+                    arrays.append(list_column(wrapped, texts.take(pa.array(places))))
                 columns = [a.cast(f.type) for a, f in zip(arrays, out_schema)]
                 yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
@@ -156,7 +159,7 @@ class Encoder:
 
     # the join way
 
-    def _encode_join(self, split: DataFrame) -> DataFrame:
+    def _encode_join(self, split: DataFrame, with_tokens: bool) -> DataFrame:
         others = [c for c in split.columns if c != "words"]
         # the outer form keeps records without words; their one row has no position
         rows = split.select(*others, F.posexplode_outer("words").alias("pos", "word"))
@@ -170,15 +173,15 @@ class Encoder:
         grouped = found.groupBy(*others).agg(
             F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items")
         )
-        return grouped.select(
-            *others,
-            F.concat(
-                F.array(F.lit(self.start_id)), F.transform("items", lambda x: x["id"]), F.array(F.lit(self.end_id))
-            ).alias("ids"),
-            F.concat(
-                F.array(F.lit(self.start)), F.transform("items", lambda x: x["token"]), F.array(F.lit(self.end))
-            ).alias("tokens"),
-        )
+
+        def wrapped(start: int | str, field: str, end: int | str) -> Column:
+            inner = F.transform("items", lambda x: x[field])
+            return F.concat(F.array(F.lit(start)), inner, F.array(F.lit(end)))
+
+        arrays = [wrapped(self.start_id, "id", self.end_id).alias("ids")]
+        if with_tokens:
+            arrays.append(wrapped(self.start, "token", self.end).alias("tokens"))
+        return grouped.select(*others, *arrays)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", record_id: str = "record_id") -> DataFrame:

@@ -43,7 +43,9 @@ def count_passes(
     limit, infrequent words included. A pass depends on the one before, so its counts are
     written in between, and so are the tokens that all passes share.
     """
-    tokens = tokenize_corpus(spread(corpus, "record_id"))
+    # a long document has many sentences: spread by both
+    keys = [k for k in ("record_id", "sent_no") if k in corpus.columns]
+    tokens = tokenize_corpus(spread(corpus, *keys))
     if store_tokens:
         tokens = materialize(tokens, "tokens")
     counts: DataFrame | None = None

@@ -97,7 +97,12 @@ def encoded(spark: SparkSession, sf: str, vocab: vb.Vocabulary, way: str = "auto
     return Encoder(vocab).encode(documents(spark, sf), way=way)
 
 
-def bench_words(spark: SparkSession, sf: str) -> DataFrame:
+def sequences(spark: SparkSession, sf: str, vocab: vb.Vocabulary) -> DataFrame:
+    """Encoded documents without the text of their tokens."""
+    return Encoder(vocab).encode(documents(spark, sf), with_tokens=False)
+
+
+def other_words(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct words of the conversations: a second corpus to look up."""
     return vb.word_counts(vb.tokenize_corpus(turns(spark, sf))).select("word")
 
@@ -275,7 +280,7 @@ def infrequent_words(spark, sf):
 
 @query
 def fitting_records(spark, sf):
-    enc = encoded(spark, sf, vocabulary(spark, sf)).filter(rs.long_enough("ids", N))
+    enc = sequences(spark, sf, vocabulary(spark, sf)).filter(rs.long_enough("ids", N))
     return enc.select("record_id", F.size("ids").alias("n_ids"), joined(rs.truncate("ids", 256)).alias("ids"))
 
 
@@ -430,23 +435,23 @@ def recipe_wikipedia(spark, sf):
 
 @query
 def lookup_ids(spark, sf):
-    return vocabulary(spark, sf).word_to_id(bench_words(spark, sf))
+    return vocabulary(spark, sf).word_to_id(other_words(spark, sf))
 
 
 @query
 def missing_words(spark, sf):
-    return vocabulary(spark, sf).missing(bench_words(spark, sf))
+    return vocabulary(spark, sf).missing(other_words(spark, sf))
 
 
 @query
 def contained_words(spark, sf):
-    return vocabulary(spark, sf).contains(bench_words(spark, sf))
+    return vocabulary(spark, sf).contains(other_words(spark, sf))
 
 
 @query
 def lookup_weights(spark, sf):
     weights = sp.keep_weights(vocabulary(spark, sf)).select("word", "keep_prob")
-    found = bench_words(spark, sf).join(weights, "word", "left")
+    found = other_words(spark, sf).join(weights, "word", "left")
     return rounded(found.withColumn("keep_prob", F.coalesce("keep_prob", F.lit(1.0))), "keep_prob")
 
 
@@ -457,7 +462,7 @@ def delete_words(spark, sf):
 
 @query
 def look_up_vectors(spark, sf):
-    rows = encoded(spark, sf, vocabulary(spark, sf)).select("record_id", F.posexplode("ids").alias("pos", "id"))
+    rows = sequences(spark, sf, vocabulary(spark, sf)).select("record_id", F.posexplode("ids").alias("pos", "id"))
     found = rows.join(vectors(spark, sf).select("id", "vector"), "id")
     return found.groupBy("record_id").agg(
         F.count("*").alias("n_found"), F.round(F.sum(F.col("vector")[0].cast("double")), 6).alias("sum_first")
@@ -504,7 +509,7 @@ def id_to_word(spark, sf):
 
 @query
 def word_frequency(spark, sf):
-    return vocabulary(spark, sf).word_frequency(bench_words(spark, sf))
+    return vocabulary(spark, sf).word_frequency(other_words(spark, sf))
 
 
 @query
@@ -563,7 +568,7 @@ def encode_pairs(spark, sf):
 @query
 def decode_ids(spark, sf):
     vocab = vocabulary(spark, sf)
-    return decode(encoded(spark, sf, vocab), vocab).select("record_id", joined("tokens").alias("tokens"))
+    return decode(sequences(spark, sf, vocab), vocab).select("record_id", joined("tokens").alias("tokens"))
 
 
 # -- splits, mixes, samples ------------------------------------------------------------
@@ -639,7 +644,7 @@ def keep_weights(spark, sf):
 @query
 def subsample_words(spark, sf):
     vocab = vocabulary(spark, sf)
-    thin = sp.subsample_ids(encoded(spark, sf, vocab).select("record_id", "ids"), vocab)
+    thin = sp.subsample_ids(sequences(spark, sf, vocab), vocab)
     return thin.select("record_id", joined("ids").alias("ids"))
 
 
@@ -660,7 +665,7 @@ def negative_distribution(spark, sf):
 @query
 def draw_negatives(spark, sf):
     vocab = vocabulary(spark, sf)
-    windows = ex.skipgram_windows(ex.prepare_sequences(encoded(spark, sf, vocab), vocab))
+    windows = ex.skipgram_windows(ex.prepare_sequences(sequences(spark, sf, vocab), vocab))
     drawn = sp.draw_negatives(windows, sp.negative_distribution(vocab))
     return drawn.select("record_id", "start", "center", joined("negatives").alias("negatives"))
 
@@ -670,7 +675,7 @@ def draw_negatives(spark, sf):
 
 @query
 def context_windows(spark, sf):
-    enc = encoded(spark, sf, vocabulary(spark, sf))
+    enc = sequences(spark, sf, vocabulary(spark, sf))
     windows = ex.context_windows(ex.prepare_sequences(enc, None, N), N)
     return windows.select("record_id", "start", joined("window").alias("ids"))
 
@@ -678,14 +683,14 @@ def context_windows(spark, sf):
 @query
 def cbow_examples(spark, sf):
     vocab = vocabulary(spark, sf)
-    found = ex.cbow_examples(encoded(spark, sf, vocab), vocab)
+    found = ex.cbow_examples(sequences(spark, sf, vocab), vocab)
     return found.select("record_id", "start", joined("context").alias("context"), "center")
 
 
 @query
 def skipgram_pairs(spark, sf):
     vocab = vocabulary(spark, sf)
-    windows = ex.skipgram_windows(ex.prepare_sequences(encoded(spark, sf, vocab), vocab))
+    windows = ex.skipgram_windows(ex.prepare_sequences(sequences(spark, sf, vocab), vocab))
     return ex.skipgram_pairs(windows).groupBy("record_id", "center").agg(
         F.count("*").alias("n_pairs"), F.sum("target").alias("sum_targets"), F.sum("label").alias("n_positive")
     )
@@ -752,7 +757,7 @@ def vocabulary_cutoffs(spark, sf):
 
 
 def sizes(spark, sf) -> DataFrame:
-    return st.lengths(encoded(spark, sf, vocabulary(spark, sf)))
+    return st.lengths(sequences(spark, sf, vocabulary(spark, sf)))
 
 
 @query
@@ -854,7 +859,7 @@ def small_examples(spark, sf) -> DataFrame:
     """Examples whose ids fall onto the stored vectors."""
     vocab = vocabulary(spark, sf)
     n = table(spark, sf, "embeddings").count()
-    found = ex.cbow_examples(encoded(spark, sf, vocab), vocab, subsample=False)
+    found = ex.cbow_examples(sequences(spark, sf, vocab), vocab, subsample=False)
     return found.select(
         "record_id",
         "start",
@@ -868,7 +873,7 @@ def context_means(spark, sf):
     vocab = vocabulary(spark, sf)
     n = table(spark, sf, "embeddings").count()
     split = vb.tokenize_corpus(turns(spark, sf)).withColumnRenamed("tokens", "words")
-    enc = Encoder(vocab).encode_words(split)
+    enc = Encoder(vocab).encode_words(split, with_tokens=False)
     found = ex.cbow_examples(enc, vocab, subsample=False)
     placed = found.select("record_id", "start", F.transform("context", lambda i: i % n).alias("context"))
     means = vc.context_means(placed, vectors(spark, sf))
