@@ -105,3 +105,11 @@ def test_agrees_with_tokenizer_library(spark, vocab, corpus):
         if text is not None:
             out = tok.encode(text)
             assert got[key] == (out.ids, out.tokens, out.attention_mask)
+
+
+def test_repeated_ids_are_an_error(spark, vocab):
+    df = spark.createDataFrame([(1, "the cat"), (1, "dog")], "record_id long, text string")
+    encoder = en.Encoder(vocab)
+    assert encoder.encode(df, way="arrow").count() == 2
+    with pytest.raises(Exception, match="unique ids"):
+        encoder.encode(df, way="join").collect()

@@ -159,6 +159,13 @@ def test_context_means(spark, vectors, matrix, way):
     assert got[1, 1] == pytest.approx(list(matrix[3].astype(float)))
 
 
+@pytest.mark.parametrize("way", ["auto", "join"])
+def test_look_up_vectors(spark, vectors, matrix, way):
+    rows = spark.createDataFrame([(i, 3 if i % 3 else i % 20) for i in range(60)], "k int, id int")
+    got = {r.k: r.vector for r in vc.look_up_vectors(rows, vectors, way=way).collect()}
+    assert got == {i: [float(v) for v in matrix[j]] for i, j in ((r.k, r.id) for r in rows.collect()) if j < 12}
+
+
 def test_scores_match_brute_force(spark, vectors, matrix):
     rng = np.random.default_rng(9)
     out, bias = rng.normal(size=(12, 4)), rng.normal(size=12)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wordloom.functions.text import TextFunction, normalize, parse_words, split_words
+from wordloom.operators.joins import regroup
 from wordloom.operators.vocabulary import Vocabulary
 from wordloom.schemas import END_TOKEN, START_TOKEN
 from wordloom.session import MAX_BROADCAST_BYTES, measured_bytes
@@ -170,9 +171,7 @@ class Encoder:
             F.coalesce("id", F.lit(unk_id)).alias("id"),
             F.when(F.col("id").isNull(), F.lit(unk)).otherwise(F.col("word")).alias("token"),
         )
-        grouped = found.groupBy(*others).agg(
-            F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items")
-        )
+        grouped = regroup(found, others, item)
 
         def wrapped(start: int | str, field: str, end: int | str) -> Column:
             inner = F.transform("items", lambda x: x[field])
@@ -188,10 +187,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", record_
     """Ids back to words; ids out of range give the unknown token."""
     rows = encoded.select(record_id, F.posexplode_outer(ids).alias("pos", "id"))
     named = vocabulary.id_to_word(rows)
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "word"))
-    return named.groupBy(record_id).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["word"]).alias("tokens")
-    )
+    grouped = regroup(named, [record_id], F.struct("pos", "word"))
+    return grouped.select(record_id, F.transform("items", lambda x: x["word"]).alias("tokens"))
 
 
 def conversation_pairs(turns: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
@@ -51,3 +53,20 @@ def attach(df: DataFrame, table: DataFrame, key: str, table_key: str) -> DataFra
         .unionByName(common.join(F.broadcast(hot_rows), on, "left"))
         .drop(table_key)
     )
+
+
+def regroup(rows: DataFrame, keys: Sequence[str], item: Column, pos: str = "pos") -> DataFrame:
+    """Back from one row per item to one per record: ``items`` in the order of ``item``'s
+    first field. Rows without a position stand for empty records; null items are left out.
+
+    A record gathers what it held before the explode. Two records under one id would mix, so
+    their repeated positions are an error.
+    """
+    grouped = rows.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col(pos).isNotNull(), item))).alias("items"),
+        F.max(pos).alias("_last"),
+        F.count(pos).alias("_n"),
+    )
+    failure = F.raise_error(F.lit("records need unique ids to be regrouped")).cast(grouped.schema["items"].dataType)
+    whole = F.when(F.col("_last") + 1 != F.col("_n"), failure).otherwise(F.col("items"))
+    return grouped.select(*keys, whole.alias("items"))

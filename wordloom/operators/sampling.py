@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from wordloom.functions.hashing import digest, record_state, uniform, uniform_np
 from wordloom.operators.encoding import list_column, list_parts
-from wordloom.operators.joins import lookup
+from wordloom.operators.joins import lookup, regroup
 from wordloom.operators.ranking import hash_cut, shuffled_positions
 from wordloom.operators.vocabulary import Vocabulary, most_common
 from wordloom.schemas import NEG_SAMPLE_COUNT, NEG_SAMPLE_POWER, SEED, SPLIT_SHARES, SUBSAMPLE_THRESHOLD
@@ -237,9 +237,7 @@ def _subsample_join(encoded: DataFrame, table: DataFrame, size: int, seed: int,
     joined = lookup(rows, table, "_token", "id", size)
     u = uniform(record_state(seed, key), F.col("pos"))
     kept = F.when(F.coalesce("keep_prob", F.lit(1.0)) > u, F.struct("pos", F.col("_token").alias("id")))
-    return joined.groupBy(*others).agg(
-        F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["id"]).alias("ids")
-    )
+    return regroup(joined, others, kept).select(*others, F.transform("items", lambda x: x["id"]).alias("ids"))
 
 
 # -- negative samples ------------------------------------------------------------------

@@ -463,7 +463,7 @@ def delete_words(spark, sf):
 @query
 def look_up_vectors(spark, sf):
     rows = sequences(spark, sf, vocabulary(spark, sf)).select("record_id", F.posexplode("ids").alias("pos", "id"))
-    found = rows.join(vectors(spark, sf).select("id", "vector"), "id")
+    found = vc.look_up_vectors(rows, vectors(spark, sf))
     return found.groupBy("record_id").agg(
         F.count("*").alias("n_found"), F.round(F.sum(F.col("vector")[0].cast("double")), 6).alias("sum_first")
     )
