@@ -157,10 +157,10 @@ def _shingle_group(texts: list[bytes], size: int, roll: RollingHash) -> list[np.
         if b - a >= size:
             out.append(np.unique(rolled[a : b - size + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], np.uint64)
             for w in word[a:b]:
-                whole = splitmix(np.array([whole * np.uint64(3) + w]))[0]
-            out.append(np.array([whole], np.uint64))
+                whole = splitmix(whole * np.uint64(3) + w)
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out

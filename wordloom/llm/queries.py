@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, mixing, sharding
+from wordloom.llm import bpe, fagin, language, licenses, lsh_forest, mixing, preferences, repeats, sharding, sketches
 from wordloom.session import spread
 
 
@@ -21,6 +21,30 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents"), ["doc_id"]).drop("times")
 
 
+def op3_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return fagin.top_k(_table(spark, sf, "embeddings"), 5)
+
+
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.compare_with_edit(_table(spark, sf, "documents"))
+
+
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = language.fold(F.col("doc_id")) == 0
+    model = language.train(docs.filter(~held_out))
+    found = language.predict(spread(docs.drop("lang")), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.digest(spread(_table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def op7_preferences(spark: SparkSession, sf: str) -> DataFrame:
+    return preferences.neighbours(_table(spark, sf, "conversations"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -35,10 +59,25 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return lsh_forest.groups(spread(_table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(spread(_table(spark, sf, "documents").select("doc_id", "text")), ["doc_id"])
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mix_sources": op2_mix_sources,
+    "op3_top_k": op3_top_k,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_language": op5_language,
+    "op6_repeats": op6_repeats,
+    "op7_preferences": op7_preferences,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {}
