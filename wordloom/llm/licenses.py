@@ -40,7 +40,7 @@ def _words(line: Column) -> Column:
 def _pairs(words: Column) -> Column:
     """Distinct bigrams of a list of words."""
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.transform(F.arrays_zip(F.slice(words, 1, n).alias("x"), F.slice(words, 2, n).alias("y")), lambda p: F.concat_ws(" ", p["0"], p["1"]))
+    pairs = F.transform(F.arrays_zip(F.slice(words, 1, n).alias("x"), F.slice(words, 2, n).alias("y")), lambda p: F.concat_ws(" ", p["x"], p["y"]))
     return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(pairs))
 
 
