@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import compare, connect
+from wordloom.plans.catalog import QUERIES
+from wordloom.plans.oracles import ORACLES
 
 ROWS_ONLY = {"model_checkpoints", "draw_negatives", "train_vectors", "score_examples", "principal_axes"}
 
@@ -14,13 +16,13 @@ def con(sf):
 
 
 def test_all_queries_have_twins():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
-    _, rows, problem = compare(spark, con, name, queries()[name], oracle_sql().get(name), sf)
+    _, rows, problem = compare(spark, con, name, QUERIES[name], ORACLES.get(name), sf)
     assert problem is None and rows > 0
 
 
