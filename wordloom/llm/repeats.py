@@ -5,7 +5,8 @@ agree, and so do the ranks half a length further on. The rank of a half is its 6
 it needs no sort of its own; Spark then groups the pairs of ranks, and the least position of a group
 is the string's first place. Positions that cannot repeat never reach that step: of every
 string of full length the least of its halves' hashes is its anchor, equal strings have equal
-anchors, and an anchor found once in the corpus rules its strings out.
+anchors, and an anchor found once in the corpus rules its strings out. Neighbouring strings with one
+anchor form a run, and of equal runs only the first takes part in the ranking.
 
 Equal texts are grouped first: every string of a later copy also starts in the first one.
 
@@ -70,17 +71,17 @@ def _write(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + OUT]) for c in columns], names=names)
 
 
-def _removed(starts: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs covered by strings at the sorted ``starts``."""
-    gap = np.flatnonzero(np.diff(starts) > length)
-    begin = starts[np.concatenate([[0], gap + 1])] if len(starts) else starts
-    end = starts[np.concatenate([gap, [len(starts) - 1]])] + length if len(starts) else starts
-    return begin, end
+def _removed(pos: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by strings that start at ``many`` places in a row from each ``pos``."""
+    order = np.argsort(pos, kind="stable")
+    begin, end = pos[order].astype(np.int64), np.maximum.accumulate((pos.astype(np.int64) + many + length - 1)[order])
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    return begin[new], end[np.concatenate([new[1:], [True]])]
 
 
 def later_starts(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """For distinct ``texts`` (d, k, text): those that may repeat something, as (d, k, text, hashes),
-    and the places (d, k, pos) of all their strings that also start earlier."""
+    and the places of all their strings that also start earlier: ``many`` in a row from ``pos`` (d, k, pos, many)."""
     half = length // 2
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,24 +101,65 @@ def later_starts(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     wanted = found.join(again, "h").groupBy("d", "k").agg(F.collect_list("h").alias("hashes"))  # a text's own anchors: no more than its length
     suspects = materialize(texts.join(wanted, ["d", "k"]), "suspects")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, span = RollingHash(), length - half + 1
+    span = length - half + 1
+
+    def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll, other = RollingHash(), RollingHash(1)
         for batch in batches:
             for d, k, text, wanted in zip(*[batch.column(i) for i in range(4)]):
-                keys = np.sort(wanted.values.to_numpy().view(np.uint64))
-                for lo, hashes in _hashed(text.as_py().encode(), length, roll):
+                keys, data = np.sort(wanted.values.to_numpy().view(np.uint64)), text.as_py().encode()
+                for lo, hashes in _hashed(data, length, roll):
                     least = _slide(hashes, span, np.minimum)
-                    place = np.minimum(np.searchsorted(keys, least), len(keys) - 1)
-                    at = np.flatnonzero(keys[place] == least)
+                    begin = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+                    many = np.diff(np.concatenate([begin, [len(least)]]))
+                    at = keys[np.minimum(np.searchsorted(keys, least[begin]), len(keys) - 1)] == least[begin]
+                    begin, many = begin[at], many[at]
+                    # a run that holds its anchor twice may repeat a string of its own
+                    near = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                    held = np.flatnonzero(keys[near] == hashes)
+                    held = np.sort((near[held] << 32) + held)
+                    own = np.searchsorted(keys, least[begin]) << 32
+                    twice = np.searchsorted(held, own + begin + many - 1 + span) - np.searchsorted(held, own + begin) > 1
+                    sums = other.sums(np.frombuffer(data, np.uint8, len(hashes) + half - 1, lo))
+                    whole = splitmix(other.ranges(sums, begin, begin + many - 1 + length))
+                    one = np.ones(len(begin), np.int64)
+                    columns = [one * d.as_py(), one * k.as_py(), (begin + lo).astype(np.int32), many.astype(np.int32)]
+                    yield from _write([*columns, least[begin].view(np.int64), whole.view(np.int64), twice], ["d", "k", "pos", "many", "h", "r", "twice"])
+
+    # strings in a row with one anchor are one run; equal runs are settled as a whole
+    runs = materialize(suspects.mapInArrow(list_runs, "d bigint, k bigint, pos int, many int, h bigint, r bigint, twice boolean"), "runs")
+    first = runs.groupBy("h", "r", "many").agg(F.min(F.struct("d", "k", "pos")).alias("first"), F.count("*").alias("n"), F.max("twice").alias("twice"))
+    first = materialize(first, "first-runs")
+    copies = runs.join(first.filter("n > 1").drop("n", "twice"), ["h", "r", "many"]).filter(F.struct("d", "k", "pos") > F.col("first"))
+    # what different runs of one anchor share, or one run with itself, is told string by string
+    shared = first.groupBy("h").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice")).filter("kinds > 1 or twice")
+    parts = first.join(shared.select("h"), "h").select("first.*", "many")
+    parts = parts.groupBy("d", "k").agg(F.collect_list(F.struct("pos", "many")).alias("parts"))  # no more than the text's length
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll = RollingHash()
+        for batch in batches:
+            for d, k, text, parts in zip(*[batch.column(i) for i in range(4)]):
+                pos, many = (parts.values.field(i).to_numpy().astype(np.int64) for i in range(2))
+                order = np.argsort(pos)
+                pos, many = pos[order], many[order]
+                for lo, hashes in _hashed(text.as_py().encode(), length, roll):
+                    mark = np.zeros(len(hashes) - span + 2, np.int64)
+                    here = (pos < lo + len(mark) - 1) & (pos + many > lo)
+                    np.add.at(mark, np.maximum(pos[here] - lo, 0), 1)
+                    np.add.at(mark, np.minimum(pos[here] + many[here] - lo, len(mark) - 1), -1)
+                    at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                     one = np.ones(len(at), np.int64)
                     yield from _write(
                         [one * d.as_py(), one * k.as_py(), (at + lo).astype(np.int32), hashes[at].view(np.int64), hashes[at + length - half].view(np.int64)],
                         ["d", "k", "pos", "a", "b"],
                     )
 
-    ranked = materialize(suspects.mapInArrow(pairs, "d bigint, k bigint, pos int, a bigint, b bigint"), "rank-pairs")
-    first = ranked.groupBy("a", "b").agg(F.min(F.struct("d", "k", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = ranked.join(first.drop("n"), ["a", "b"]).filter(F.struct("d", "k", "pos") > F.col("first")).select("d", "k", "pos")
+    texts = suspects.drop("hashes").join(parts, ["d", "k"])
+    ranked = materialize(texts.mapInArrow(pairs, "d bigint, k bigint, pos int, a bigint, b bigint"), "rank-pairs")
+    least = ranked.groupBy("a", "b").agg(F.min(F.struct("d", "k", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = ranked.join(least.drop("n"), ["a", "b"]).filter(F.struct("d", "k", "pos") > F.col("first"))
+    later = later.select("d", "k", "pos", F.lit(1).alias("many")).union(copies.select("d", "k", "pos", "many"))
     return suspects, later
 
 
@@ -136,7 +178,7 @@ def cut_texts(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text:
     long = docs.filter(F.octet_length(text) >= length).select(d.alias("d"), k.alias("k"), whole.alias("text"))
     texts = materialize(long.groupBy("k", "text").agg(F.min("d").alias("d")).select("d", "k", "text"), "distinct-texts")
     suspects, later = later_starts(texts, length)
-    starts = later.groupBy("d", "k").agg(F.collect_list("pos").alias("starts"))  # no more than the text's length
+    starts = later.groupBy("d", "k").agg(F.collect_list(F.struct("pos", "many")).alias("starts"))  # no more than the text's length
     names = ["d", "k", "n_bytes", "n_removed", "n_spans", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +186,7 @@ def cut_texts(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text:
             out = []
             for text, places in zip(batch.column(2), batch.column(3)):
                 data = text.as_py().encode()
-                begin, end = _removed(np.sort(places.values.to_numpy()).astype(np.int64), len(data), length)
+                begin, end = _removed(places.values.field(0).to_numpy(), places.values.field(1).to_numpy(), length)
                 edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(data)]
                 out.append((len(data), int((end - begin).sum()), len(begin), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))))
             cols = list(zip(*out)) if out else [[], [], [], []]
