@@ -45,7 +45,7 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 def _hashed(data: bytes, length: int, roll: RollingHash) -> Iterator[tuple[int, np.ndarray]]:
     """Hashes of the halves, in pieces that share what a string of full length needs: (first position, hashes)."""
-    half = length // 2
+    half = (length + 1) // 2
     for lo in range(0, max(len(data) - length + 1, 0), PIECE):
         part = np.frombuffer(data, np.uint8, min(PIECE + length - 1, len(data) - lo), lo)
         yield lo, splitmix(roll.windows(roll.sums(part), half))
@@ -54,7 +54,7 @@ def _hashed(data: bytes, length: int, roll: RollingHash) -> Iterator[tuple[int,
 def anchors(data: bytes, length: int, roll: RollingHash) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of a text's anchors, and at how many places each lies (2 for more)."""
     where, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    span = length - length // 2 + 1
+    span = length - (length + 1) // 2 + 1
     for lo, hashes in _hashed(data, length, roll):
         least = _slide(hashes, span, np.minimum)
         wide = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
@@ -82,7 +82,7 @@ def _removed(pos: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray
 def later_starts(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """For distinct ``texts`` (d, k, text): those that may repeat something, as (d, k, text, hashes),
     and the places of all their strings that also start earlier: ``many`` in a row from ``pos`` (d, k, pos, many)."""
-    half = length // 2
+    half = (length + 1) // 2
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash()

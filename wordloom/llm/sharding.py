@@ -120,7 +120,7 @@ def _slots(rows: DataFrame, shard: Column) -> DataFrame:
 
 def shard_texts(docs: DataFrame, shards: int, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with size, text_crc32, law, shard, slot and grown_shard of every row."""
-    names = free_name(docs, "key", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    names = free_name(docs.select(*keep), "key", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         *keep,
