@@ -99,7 +99,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> list[int]:
         cuts = self.cut(text)
-        new = set(cuts) - self.known.keys()
+        new = {cut for cut in set(cuts) if cut not in self.known}
         if new:
             if len(self.known) + len(new) > CACHED:
                 self.known.clear()
