@@ -264,6 +264,22 @@ def test_join(spark, nothing):
     assert 1 - (1 - 0.8 ** lsh_forest.depth_for(0.8)) ** lsh_forest.TREES >= lsh_forest.RECALL
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_links_of_a_large_cluster(spark, monkeypatch, block):
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", block)
+    words = _text(7, 120).split()
+    texts = [(i, " ".join(words[:i] + [f"n{i}"] + words[i + 1 :])) for i in range(0, 60, 5)] + [(1, _text(8, 50)), (None, _text(9, 50))]
+    members, found = lsh_forest.similar(spark.createDataFrame(texts, "doc_id long, text string"), every=True)
+    names = {r.node: r.doc_id for r in members.collect()}
+    got = sorted((*sorted((names[r.u], names[r.v])), round(r.jaccard, 9)) for r in found.collect())
+    known = [(i, sets(t)) for i, t in texts if i is not None]
+    want = [(i, j, len(a & b) / len(a | b)) for i, a in known for j, b in known if i < j]
+    assert got == sorted((i, j, round(x, 9)) for i, j, x in want if x >= 0.8) and len(got) > 50
+    out = lsh_forest.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    degree = Counter(x for i, j, _ in got for x in (i, j))
+    assert {r.doc_id: r.n_links for r in out if r.doc_id is not None} == {i: degree[i] for i, _ in known}
+
+
 # -- licences --------------------------------------------------------------------------
 
 

@@ -4,7 +4,9 @@ A text is the set of its word shingles. Texts with equal sets are one class and
 once. Each class has a signature per tree, and a tree holds it in the sorted order of prefixes.
 Classes that share a prefix are candidates. The prefixes are shortened from the full depth, one
 hash at a time, until a pair at the threshold shares one in some tree with the target recall;
-exact Jaccard similarity of the shingle sets then decides.
+exact Jaccard similarity of the shingle sets then decides. Candidates are connected into clusters
+first, and the sets of a cluster, or of two blocks of a large one, are compared within one task,
+so each set travels once per block and no pair is ever a row, unless all links are asked for.
 
 Defined cases: texts that are null or without words are in no pair and are classes of their own;
 equal rows are members of one class; null ids are members as well, and a class's id is its
@@ -27,6 +29,9 @@ from wordloom.session import materialize
 TREES = 24
 DEPTH = 8
 RECALL = 0.9999
+BLOCK_ROWS = 2048  # classes of a block, about
+BLOCK_SHINGLES = 4 << 20  # and their shingles
+OUT = 1 << 14  # rows of a batch that a task hands on
 
 
 def depth_for(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -36,6 +41,11 @@ def depth_for(threshold: float, recall: float = RECALL, trees: int = TREES, dept
     return depth
 
 
+def identity(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return int(splitmix(shingles).sum().view(np.int64)), int(splitmix(shingles ^ np.uint64(BASE)).sum().view(np.int64))
+
+
 def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The least of each seed's hashes over a set, set by set in bounded pieces."""
     out = np.full(len(seeds), np.uint64(2**64 - 1))
@@ -60,8 +70,8 @@ def classes(docs: DataFrame, size: int, depth: int, key: list[str], text: str) -
                 if not len(one):
                     s1.append(None), s2.append(None), trees.append(None)
                     continue
-                s1.append(int(splitmix(one).sum().view(np.int64)))
-                s2.append(int(splitmix(one ^ np.uint64(BASE)).sum().view(np.int64)))
+                for into, x in zip((s1, s2), identity(one)):
+                    into.append(x)
                 marks = signature(one, seeds).reshape(TREES, depth)
                 prefix = np.arange(TREES, dtype=np.uint64)
                 for i in range(depth):
@@ -74,61 +84,170 @@ def classes(docs: DataFrame, size: int, depth: int, key: list[str], text: str) -
     return docs.select(*key, text).mapInArrow(run, f"{schema}, s1 bigint, s2 bigint, n bigint, trees array<bigint>")
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, s1, s2, node) and links (u, v, jaccard) between classes' nodes, u < v."""
+def _meet(nodes: np.ndarray, block: np.ndarray, trees: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Links among the sets: a place, the later places it is linked to and their similarities;
+    ``across``: only those between different blocks."""
+    sizes = np.array([len(s) for s in sets])
+    names, where = np.unique(np.concatenate(sets), return_inverse=True)
+    items = np.split(where, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(names), bool)
+    for a in range(len(nodes) - 1):
+        rest = slice(a + 1, None)
+        fits = np.minimum(sizes[rest], sizes[a]) >= threshold * np.maximum(sizes[rest], sizes[a])
+        if across:
+            fits &= block[rest] != block[a]
+        at = a + 1 + np.flatnonzero(fits)
+        at = at[(trees[at] == trees[a]).any(axis=1)]
+        if len(at):
+            mark[items[a]] = True
+            common = np.array([np.count_nonzero(mark[items[b]]) for b in at])
+            mark[items[a]] = False
+            jaccard = common / (sizes[at] + sizes[a] - common)
+            near = jaccard >= threshold
+            if near.any():
+                yield a, at[near], jaccard[near]
+
+
+def _connected(nodes: np.ndarray, met: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+    """Each linked node, the least node that links here connect it to, and its number of links here."""
+    label, degree = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+    for a, at, _ in met:
+        degree[a] += len(at)
+        degree[at] += 1
+        for old in np.unique(label[at]):
+            if old != label[a]:
+                label[label == old] = label[a]
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    for a in np.flatnonzero(degree):
+        yield nodes[a], least[label[a]], None, degree[a]
+
+
+def _links(placed: DataFrame, threshold: float, every: bool) -> DataFrame:
+    """Verify what meets in the groups (root, i, j) of ``placed``, one group in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def settle() -> None:
+            one = {row[0]: row for row in held}  # a node once
+            if len(one) > 1:
+                nodes, block, trees, sets, cuts = zip(*one.values())
+                cut = cuts[0] > 1
+                nodes = np.array(nodes)
+                met = _meet(nodes, np.array(block), np.stack(trees), list(sets), threshold, now[1] < now[2])
+                if every:
+                    out.extend((nodes[a], nodes[b], x, None, cut) for a, at, jaccard in met for b, x in zip(at, jaccard))
+                else:
+                    out.extend((*row, cut) for row in _connected(nodes, met))
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[], [], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["u", "v", "jaccard", "links", "cut"])
+            out.clear()
+            return batch
+
+        now = None
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
+            nodes, block, blocks = (batch.column(c).to_pylist() for c in (3, 4, 7))
+            for i, key in enumerate(keys):
+                if key != now:
+                    settle()
+                    now = key
+                    if len(out) >= OUT:
+                        yield flush()
+                # copies, lest a row keep its whole batch
+                trees, items = (batch.column(c)[i].values.to_numpy().copy() for c in (5, 6))
+                held.append((nodes[i], block[i], trees, items, blocks[i]))
+        settle()
+        yield flush()
+
+    groups = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return groups.select("root", "i", "j", "node", "block", "trees", "set", "blocks").mapInArrow(run, "u bigint, v bigint, jaccard double, links bigint, cut boolean")
+
+
+def _clusters(leaves: DataFrame, threshold: float) -> DataFrame:
+    """(node, root): nodes that share a leaf and might be similar by their sizes have one root.
+
+    Sizes fall into classes so wide that those of a similar pair lie in one or in two neighbouring
+    ones; a node is tied to the least of its leaf and class, and this to the least of the next class.
+    """
+    wide = 1.0001 * -np.log(threshold)
+    rows = leaves.withColumn("size", F.floor(F.log("n") / wide))
+    least = rows.groupBy("leaf", "size").agg(F.min("node").alias("m"))
+    own = rows.join(least, ["leaf", "size"]).select(F.col("node").alias("u"), F.col("m").alias("v"))
+    above = least.select("leaf", (F.col("size") - 1).alias("size"), F.col("m").alias("u"))
+    return components(own.union(least.join(above, ["leaf", "size"]).select("u", F.col("m").alias("v"))), "clusters")
+
+
+def similar(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, s1, s2, node) and, for classes' nodes, rows (u, v, jaccard, links, cut).
+
+    With ``every`` these are all links u, v. Otherwise v is the least node that u is connected to
+    and ``links`` its number of links; of a cluster that was ``cut`` into blocks each row tells
+    of two blocks, and they are still to be added up and connected. A group of many near copies
+    then costs comparisons, but no row for each of its pairs.
+    """
     spark = docs.sparkSession
     depth = depth_for(threshold)
     rows = materialize(classes(docs, size, depth, [doc_id], text), "signatures")
     # equal sets have equal signatures, so any row of a class will do
-    reps = rows.filter("s1 is not null").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("trees").alias("trees"))
-    reps = materialize(reps.select(F.xxhash64("s1", "s2").alias("node"), "s1", "s2", "n", "trees"), "classes")
+    ids = F.coalesce(F.col(doc_id), F.lit(2**63 - 1))
+    reps = rows.filter("s1 is not null").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("trees").alias("trees"), F.min(ids).alias("d"))
+    reps = materialize(reps.select(F.xxhash64("s1", "s2").alias("node"), "s1", "s2", "n", "trees", "d"), "classes")
     leaves = reps.select("node", "n", F.explode("trees").alias("leaf"))
-    # similar sets differ in size by no more than the threshold allows
     shared = leaves.groupBy("leaf").agg(F.count("*").alias("many")).filter("many > 1").select("leaf")
     leaves = materialize(leaves.join(shared, "leaf"), "leaves")
-    a = leaves.select("leaf", F.col("node").alias("u"), F.col("n").alias("nu"))
-    b = leaves.select("leaf", F.col("node").alias("v"), F.col("n").alias("nv"))
-    fits = (F.col("u") < F.col("v")) & (F.least("nu", "nv") >= threshold * F.greatest("nu", "nv"))
-    pairs = materialize(a.join(b, "leaf").filter(fits).select("u", "v", "nu", "nv").distinct(), "candidates")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v"))).distinct()
-    # a text of every class that is in a candidate pair, and its set
-    chosen = rows.join(reps.select("s1", "s2", "node").join(wanted, "node"), ["s1", "s2"])
-    chosen = chosen.groupBy("node").agg(F.min(F.coalesce(F.col(doc_id), F.lit(2**63 - 1))).alias("d"))
+    roots = materialize(_clusters(leaves, threshold).join(reps, "node"), "clustered")
+    # a large cluster is cut into blocks, of which every two meet in a task of their own
+    need = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    chosen = roots.join(roots.groupBy("root").agg(need.alias("blocks")), "root")
     bounded_batches(spark)
 
-    @F.pandas_udf("array<bigint>")
-    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("s1 bigint, s2 bigint, set array<bigint>")
+    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         roll = RollingHash()
         for texts in parts:
-            yield pd.Series([s.view(np.int64) for s in shingle_sets([(t or "").encode() for t in texts], size, roll)])
-
-    whole = docs.select(F.coalesce(F.col(doc_id), F.lit(2**63 - 1)).alias("d"), F.col(text).alias("text"))
-    sets = whole.join(chosen, "d").select("node", shingles("text").alias("set"))
-    sets = sets.join(reps.select("node", "n"), "node").filter(F.size("set") == F.col("n")).dropDuplicates(["node"]).drop("n")
-    sets = materialize(sets, "shingle-sets")
-    common = F.size(F.array_intersect("set", "set2"))
-    met = pairs.join(sets.withColumnRenamed("node", "u"), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set2")), "v")
-    jaccard = common / (F.col("nu") + F.col("nv") - common)
-    links = materialize(met.select("u", "v", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold), "links")
+            sets = shingle_sets([(t or "").encode() for t in texts], size, roll)
+            yield pd.DataFrame({"s1": [identity(s)[0] for s in sets], "s2": [identity(s)[1] for s in sets], "set": [s.view(np.int64) for s in sets]})
+
+    whole = docs.select(ids.alias("d"), F.col(text).alias("text"))
+    sets = whole.join(chosen, "d").withColumn("found", shingles("text"))
+    # an id may belong to several texts
+    sets = sets.filter((F.col("found")["s1"] == F.col("s1")) & (F.col("found")["s2"] == F.col("s2"))).dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64("node", "root"), F.col("blocks")).cast("int")
+    placed = sets.select("root", "node", "blocks", block.alias("block"), "trees", F.col("found")["set"].alias("set"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    found = materialize(_links(placed, threshold, every), "links")
     members = rows.select(doc_id, "s1", "s2", F.when(F.col("s1").isNotNull(), F.xxhash64("s1", "s2")).alias("node"))
-    return members, links
+    return members, found
+
+
+def similar_pairs(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, s1, s2, node) and all links (u, v, jaccard) between classes' nodes, u < v."""
+    members, found = similar(docs, threshold, size, doc_id, text, every=True)
+    return members, found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "jaccard")
 
 
 def groups(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (least id of the texts with the same shingles), group_id (least id of those
     connected by links), n_links (links of its class to other classes), one row per document."""
-    members, links = similar_pairs(docs, threshold, size, doc_id, text)
-    both = links.select(F.col("u").alias("x")).union(links.select("v"))
-    degree = both.groupBy("x").agg(F.count("*").alias("n_links"))
-    roots = components(links, "near-groups").withColumnRenamed("node", "x") if not links.isEmpty() else None
+    members, found = similar(docs, threshold, size, doc_id, text)
+    degree = found.groupBy(F.col("u").alias("x")).agg(F.sum("links").alias("n_links")).filter("n_links > 0")
+    roots = found.filter(~F.col("cut")).select(F.col("u").alias("x"), F.col("v").alias("root"))
+    cut = found.filter("cut").select("u", "v")
+    if not cut.isEmpty():
+        roots = roots.union(components(cut, "near-groups"))
     per = members.filter("node is not null").groupBy("node").agg(F.min(doc_id).alias("class_id"))
     per = per.join(degree, per["node"] == degree["x"], "left").drop("x")
-    if roots is None:
-        per = per.withColumn("group_id", F.col("class_id"))
-    else:
-        per = per.join(roots, per["node"] == roots["x"], "left").drop("x").withColumn("root", F.coalesce("root", "node"))
-        least = per.groupBy("root").agg(F.min("class_id").alias("group_id"))
-        per = per.join(least, "root").drop("root")
+    per = per.join(roots, per["node"] == roots["x"], "left").drop("x").withColumn("root", F.coalesce("root", "node"))
+    least = per.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    per = per.join(least, "root").drop("root")
     per = materialize(per, "classes-linked")
     own = F.coalesce("class_id", F.col(doc_id))
     return members.select(doc_id, "node").join(per, "node", "left").select(
