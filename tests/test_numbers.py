@@ -25,8 +25,7 @@ EXPECTED = {
 
 @pytest.mark.parametrize("name", list(EXPECTED))
 def test_activations(column, name):
-    values = X if name != "relu" else X[:-1]  # greatest() ignores nulls
-    values = values if name != "leakyrelu" else X[:-1]
+    values = X
     got = column(nm.ACTIVATIONS[name], values, "double")
     assert got == pytest.approx([None if x is None else EXPECTED[name](x) for x in values], abs=1e-12)
 
@@ -42,10 +41,12 @@ def test_gradient(spark, rows_per_range):
     x = np.sort(rng.random(150) * 8 - 4)
     y = np.tanh(x)
     rows = [("s", float(a), float(b)) for a, b in zip(x, y)] + [("one", 1.0, 2.0), ("two", 1.0, 2.0), ("two", 3.0, 8.0)]
+    rows += [(None, 1.0, 1.0), (None, 2.0, 3.0)]
     df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
     got = {(r.k, r.x): r.dydx for r in nm.gradient(df, ["k"], "x", "y", rows_per_range=rows_per_range).collect()}
     assert [got[("s", float(a))] for a in x] == pytest.approx(list(np.gradient(y, x)), abs=1e-9)
     assert got[("one", 1.0)] is None and got[("two", 1.0)] == got[("two", 3.0)] == 3.0
+    assert got[(None, 1.0)] == got[(None, 2.0)] == 2.0
 
 
 def test_linspace(spark):
@@ -147,6 +148,8 @@ def test_analogy(vectors, matrix):
     order = [i for i in np.argsort(-scores) if i not in (1, 2, 3)][:5]
     rows = vc.analogy(vectors, 1, 2, 3, 5).collect()
     assert [r.id for r in rows] == order and rows[0].similarity == pytest.approx(scores[order[0]])
+    with pytest.raises(Exception, match="has no vector"):
+        vc.analogy(vectors, 1, 99, 3, 5).collect()
 
 
 @pytest.mark.parametrize("way", ["arrow", "join", "auto"])

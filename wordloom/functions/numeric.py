@@ -26,7 +26,8 @@ def tanh(x: Column | str) -> Column:
 
 
 def relu(x: Column | str) -> Column:
-    return F.greatest(_col(x), F.lit(0.0))
+    # greatest() passes over nulls
+    return F.when(_col(x).isNotNull(), F.greatest(_col(x), F.lit(0.0)))
 
 
 def leaky_relu(x: Column | str) -> Column:

@@ -9,6 +9,8 @@ what a piece needs from the ones before and after it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +52,11 @@ def _before(groups: Sequence[str]) -> Window:
 
 
 def _attach(df: DataFrame, pieces: DataFrame, groups: Sequence[str]) -> DataFrame:
-    return df.join(pieces, [*groups, "_range"])
+    """Join each row with its piece; null is a group like any other."""
+    keys = [*groups, "_range"]
+    pieces = pieces.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return df.join(pieces, reduce(and_, same)).drop(*[f"_of_{c}" for c in keys])
 
 
 def row_numbers(

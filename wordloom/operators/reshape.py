@@ -23,14 +23,14 @@ def unnest(df: DataFrame, items: Column, name: str, position: str | None = None,
 
     A plain explode makes the optimiser filter on the size of the array first, and where
     the array is a long text expression that filter computes it a second time. The outer
-    form has no such filter; the null row of an empty array is dropped afterwards.
+    form has no such filter; the row that it makes of an empty array has no position and is
+    dropped afterwards. A null item is an item.
     """
-    rows = (
-        df.select(*keep, F.explode_outer(items).alias(name))
-        if position is None
-        else df.select(*keep, F.posexplode_outer(items).alias(position, name))
-    )
-    return rows.filter(F.col(name).isNotNull())
+    place = position or "_position"
+    while position is None and place in {*keep, name}:
+        place = "_" + place
+    rows = df.select(*keep, F.posexplode_outer(items).alias(place, name)).filter(F.col(place).isNotNull())
+    return rows if position else rows.drop(place)
 
 
 def map_records(
@@ -51,7 +51,8 @@ def map_records(
 
 def _flatten_to_depth_one(c: Column, dtype: T.DataType) -> Column:
     while isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.ArrayType):
-        c, dtype = F.flatten(c), dtype.elementType
+        # a null among the lists is an item; flatten() would make all of them null
+        c, dtype = F.flatten(F.transform(c, lambda x: F.coalesce(x, F.array(F.lit(None))))), dtype.elementType
     return c
 
 

@@ -221,7 +221,7 @@ def _means_join(examples: DataFrame, table: DataFrame, keys: Sequence[str]) -> D
 
 
 def analogy(vectors: DataFrame, a: int, b: int, c: int, k: int = 10) -> DataFrame:
-    """The ``k`` ids nearest by cosine to ``a − b + c``, without these three."""
+    """The ``k`` ids nearest by cosine to ``a − b + c``, without these three; an id without a vector is an error."""
 
     def one(id: int) -> Column:
         return vectors.filter(F.col("id") == id).select("vector").limit(1).scalar()
@@ -229,7 +229,8 @@ def analogy(vectors: DataFrame, a: int, b: int, c: int, k: int = 10) -> DataFram
     three = vectors.sparkSession.range(1).select(one(a).alias("a"), one(b).alias("b"), one(c).alias("c"))
     difference = F.zip_with("a", "b", lambda x, y: x.cast("double") - y.cast("double"))
     query = three.select(F.zip_with(difference, F.col("c"), lambda x, y: x + y.cast("double")))
-    others = vectors.filter(~F.col("id").isin([a, b, c])).withColumn("query", query.scalar())
+    known = F.coalesce(query.scalar(), F.raise_error(F.lit(f"one of the ids {a}, {b}, {c} has no vector")))
+    others = vectors.filter(~F.col("id").isin([a, b, c])).withColumn("query", known)
     scored = others.select("id", cosine("vector", "query").alias("similarity"))
     return scored.orderBy(F.desc("similarity"), F.asc("id")).limit(k)
 

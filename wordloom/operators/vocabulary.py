@@ -32,7 +32,7 @@ def tokenize_corpus(corpus: DataFrame, key: str = "text") -> DataFrame:
 def word_counts(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count every token. Partial aggregation runs before the shuffle, so a word that is a
     third of the corpus costs one row per map task."""
-    rows = unnest(tokens, F.col("tokens"), "word", keep=by)
+    rows = unnest(tokens, F.col("tokens"), "word", keep=by).filter(F.col("word").isNotNull())
     return rows.groupBy(*by, "word").agg(F.count("*").alias("cnt"))
 
 
