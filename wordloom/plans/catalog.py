@@ -665,7 +665,8 @@ def negative_distribution(spark, sf):
 @query
 def draw_negatives(spark, sf):
     vocab = vocabulary(spark, sf)
-    windows = ex.skipgram_windows(ex.prepare_sequences(sequences(spark, sf, vocab), vocab))
+    whole = ex.prepare_sequences(sequences(spark, sf, vocab), vocab, max_sequence_len=0)
+    windows = ex.skipgram_windows(whole)
     drawn = sp.draw_negatives(windows, sp.negative_distribution(vocab))
     return drawn.select("record_id", "start", "center", joined("negatives").alias("negatives"))
 
@@ -856,10 +857,10 @@ def clip_norms(spark, sf):
 
 
 def small_examples(spark, sf) -> DataFrame:
-    """Examples whose ids fall onto the stored vectors."""
+    """Examples of whole documents whose ids fall onto the stored vectors."""
     vocab = vocabulary(spark, sf)
     n = table(spark, sf, "embeddings").count()
-    found = ex.cbow_examples(sequences(spark, sf, vocab), vocab, subsample=False)
+    found = ex.cbow_examples(sequences(spark, sf, vocab), vocab, max_sequence_len=0, subsample=False)
     return found.select(
         "record_id",
         "start",
