@@ -261,6 +261,28 @@ def negative_distribution(vocabulary: Vocabulary, power: float = NEG_SAMPLE_POWE
     )
 
 
+def _allowed_draws(ids: np.ndarray, high: np.ndarray, avoid: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each row the place in ``ids`` that its uniform number draws when the ids in ``avoid`` are
+    cut out of the distribution; ``len(ids)`` if none is left."""
+    n = len(ids)
+    if not n:
+        return np.zeros(len(u), dtype=np.int64)
+    low = np.concatenate([[0.0], high, [np.inf]])[[*range(n), n + 1]]
+    width = np.concatenate([high - low[:n], [0.0]])
+    cut = np.searchsorted(ids, avoid)
+    cut = np.sort(np.where(ids[np.minimum(cut, n - 1)] == avoid, cut, n), axis=1)  # n: not in the table
+    cut[:, 1:][cut[:, 1:] == cut[:, :-1]] = n
+    cut.sort(axis=1)
+    point = u * (high[-1] - width[cut].sum(axis=1))
+    for column in cut.T:  # in order: step over each interval at or below the point
+        point = point + np.where(low[column] <= point, width[column], 0.0)
+    drawn = np.minimum(np.searchsorted(high, point, side="right"), n - 1)
+    for row in np.flatnonzero((cut == drawn[:, None]).any(axis=1)):  # rounding at an edge, or none is left
+        left = np.setdiff1d(np.arange(n), cut[row])
+        drawn[row] = left[np.argmin(np.abs(left - drawn[row]))] if len(left) else n
+    return drawn
+
+
 def draw_negatives(
     examples: DataFrame,
     distribution: DataFrame,
@@ -270,8 +292,10 @@ def draw_negatives(
 ) -> DataFrame:
     """Add ``negatives``: ``k`` distinct ids per example, none of them its centre or context.
 
-    A draw is a uniform number looked up in the cumulative distribution, which is bounded by
-    the vocabulary size and measured before it is broadcast. Rejected draws are drawn again.
+    A draw is a uniform number over the mass of the words that are still allowed, looked up in the
+    cumulative distribution without the intervals of the others: the distribution itself, given
+    that none of these comes up, and one number a draw. The table is bounded by the vocabulary
+    size and measured before it is broadcast. With fewer than ``k`` words left, all are drawn.
     """
     table = distribution.select("id", "high").persist()
     try:
@@ -303,21 +327,12 @@ def draw_negatives(
                 zero_copy_only=False
             )
             done = np.zeros(n, dtype=np.int64)
-            waiting = np.arange(n)
-            turn = 0
-            while len(waiting) and turn < 200 * k:
-                u = uniform_np(states[waiting], np.full(len(waiting), turn))
-                drawn = ids[np.minimum(np.searchsorted(high, u, side="right"), len(ids) - 1)]
-                fresh = ~(avoid[waiting] == drawn[:, None]).any(axis=1)
-                hit = waiting[fresh]
-                avoid[hit, 1 + width + done[hit]] = drawn[fresh]
-                done[hit] += 1
-                waiting = waiting[done[waiting] < k]
-                turn += 1
-            for row in waiting:  # hardly more than k words in all: take the most frequent that are left
-                left = ids[~np.isin(ids, avoid[row])][: k - done[row]]
-                avoid[row, 1 + width + done[row] : 1 + width + done[row] + len(left)] = left
-                done[row] += len(left)
+            for turn in range(k):
+                u = uniform_np(states, np.full(n, turn))
+                at = _allowed_draws(ids, high, avoid, u)
+                hit = at < len(ids)
+                avoid[hit, 1 + width + turn] = ids[at[hit]]
+                done += hit
             drawn_ids = avoid[:, 1 + width :]
             filled = np.arange(k) < done[:, None]
             chosen = list_column(np.concatenate([[0], np.cumsum(done)]), pa.array(drawn_ids[filled], pa.int32()))

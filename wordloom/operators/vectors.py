@@ -188,21 +188,24 @@ def _means_arrow(examples: DataFrame, table: DataFrame, keys: Sequence[str], row
     return examples.mapInArrow(average, schema)
 
 
-def look_up_vectors(rows: DataFrame, vectors: DataFrame, id: str = "id", way: str = "auto") -> DataFrame:
-    """Add ``vector`` to rows with an id; rows whose id has none are dropped.
+def look_up_vectors(
+    rows: DataFrame, vectors: DataFrame, id: str = "id", way: str = "auto", keep_missing: bool = False
+) -> DataFrame:
+    """Add ``vector`` to rows with an id; rows whose id has none are dropped, or kept with a null
+    vector if ``keep_missing``.
 
     Vectors that were measured to fit are broadcast. If not, they are copied under salts, so
     that a frequent id spreads over many tasks.
     """
     table = vectors.select(F.col("id").alias("_vid"), "vector")
-    on = F.col(id) == F.col("_vid")
+    on, how = F.col(id) == F.col("_vid"), "left" if keep_missing else "inner"
     if way == "auto":
         way = "broadcast" if measured_bytes(table) <= MAX_BROADCAST_BYTES else "join"
     if way == "broadcast":
-        return rows.join(F.broadcast(table), on).drop("_vid")
+        return rows.join(F.broadcast(table), on, how).drop("_vid")
     parted = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return parted.join(copies, on & (F.col("_part") == F.col("_salt"))).drop("_vid", "_part", "_salt")
+    return parted.join(copies, on & (F.col("_part") == F.col("_salt")), how).drop("_vid", "_part", "_salt")
 
 
 def _means_join(examples: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -71,8 +71,8 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def registry() -> dict[str, corpora.Corpus]:
-    """The managed names over the documents, which hold several languages."""
-    chosen = {"bookcorpus": "lang = 'en'", "commoncrawl": "lang IN ('de', 'es')", "wikipedia": "lang = 'fr'"}
+    """The managed names over the documents; each language, known or not, is in one of them."""
+    chosen = {"bookcorpus": "lang = 'en'", "commoncrawl": "lang IS NULL OR lang NOT IN ('en', 'fr')", "wikipedia": "lang = 'fr'"}
     return {
         name: corpora.Corpus(path="documents.parquet", record_id="doc_id", where=where, recipe=name)
         for name, where in chosen.items()
