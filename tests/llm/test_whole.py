@@ -1,0 +1,22 @@
+"""Whole jobs: cases that a cut would lose."""
+
+from wordloom.llm import licenses
+
+
+def _found(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    return {i: sorted((r.licence, r.n_lines, r.line) for r in rows if r.doc_id == i) for i in range(len(texts))}
+
+
+def test_licences_wrapped_embedded_and_of_many_lines(spark):
+    wrapped = "Intro words.\n# Licensed under the Apache License,\n# Version 2.0.\nMore words."
+    embedded = "Copyright 2020 Foo. Released under the MIT License."
+    bodies = {name: "Copyright Foo\n\n" + "\n".join(text.replace(". ", ".\n").split("\n")) + "\n\nand then other words" for name, text in licenses.TEXTS if name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    inside = "many other words " * 50 + bodies["MIT"].replace("\n", " ") + " and more words" * 50
+    got = _found(spark, [wrapped, embedded, f"{embedded}\n{embedded}", "the terms of the software and of the license", *bodies.values(), inside])
+    assert got[0] == [("Apache-2.0", 1, "# Licensed under the Apache License,\n# Version 2.0.")]
+    assert got[1] == [("MIT", 1, embedded)] and got[2] == [("MIT", 2, embedded)] and got[3] == []
+    for i, (name, body) in enumerate(bodies.items(), 4):
+        [(licence, n, line)] = got[i]
+        assert (licence, n) == (name, 1) and line in body and line.count("\n") >= 2
+    assert [x[0] for x in got[4 + len(bodies)]] == ["MIT"]
