@@ -1,6 +1,13 @@
 """Whole jobs: cases that a cut would lose."""
 
-from wordloom.llm import licenses
+import functools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from wordloom.llm import language, licenses
 
 
 def _found(spark, texts):
@@ -20,3 +27,16 @@ def test_licences_wrapped_embedded_and_of_many_lines(spark):
         [(licence, n, line)] = got[i]
         assert (licence, n) == (name, 1) and line in body and line.count("\n") >= 2
     assert [x[0] for x in got[4 + len(bodies)]] == ["MIT"]
+
+
+@pytest.mark.parametrize("per_language", [language.PER_LANGUAGE, 30])  # all documents teach, or a part as in large tables
+def test_planted_foreign_text_and_noise_go(spark, sf, monkeypatch, per_language):
+    monkeypatch.setattr(language, "train", functools.partial(language.train, per_language=per_language))
+    draw = np.random.default_rng(0)
+    planted = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz   "), 400)) for _ in range(4)]
+    planted += ["В начале сотворил Бог небо и землю, земля же была безвидна и пуста", "Vaka vanha Väinämöinen itse tuon sanoiksi virkki mieleni minun tekevi"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    bad = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(planted)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.union(bad), sf)
+    got, want = ({r.doc_id for r in x.select("doc_id").collect()} for x in (kept, docs.filter(F.col("text").rlike(r"\p{L}"))))
+    assert got == want
