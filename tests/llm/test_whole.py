@@ -40,3 +40,10 @@ def test_planted_foreign_text_and_noise_go(spark, sf, monkeypatch, per_language)
     kept = corpus_pipeline.identify_language(spark, docs.union(bad), sf)
     got, want = ({r.doc_id for r in x.select("doc_id").collect()} for x in (kept, docs.filter(F.col("text").rlike(r"\p{L}"))))
     assert got == want
+
+
+def test_a_text_of_one_letter_has_a_language(spark):
+    taught = spark.createDataFrame([("a cat and a dog", "en"), ("天地玄黄宇宙洪荒", "zh")], "text string, lang string")
+    model = language.train(taught)
+    assert [model.predict(t) for t in ("A.", "玄", "!", None)] == [("en", 1.0), ("zh", 1.0), ("und", 0.0), ("und", 0.0)]
+    assert model.predict("Ж")[0] != language.UNKNOWN

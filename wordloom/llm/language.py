@@ -4,7 +4,8 @@ Training counts, per language, the documents that hold each n-gram. An n-gram be
 languages where it is common enough next to the others, and sets their bits in the cells that its
 hashes name. One look at those cells gives all languages that may contain an n-gram. For a text
 the set bits are counted per language, corrected for the rate at which a language's bits are set
-by chance, and the language with the most wins.
+by chance, and the language with the most wins. A text of one letter has no n-gram and is judged by
+the letter, whose languages training counts in the same way.
 
 Training reads at most about ``per_language`` documents of each language, drawn by hash; the
 filter has at most 2**MAX_BITS cells, whatever the corpus. Predictions use the whole text.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,10 +54,27 @@ def gram_hashes(text: str) -> Iterator[np.ndarray]:
         yield splitmix(rolled)
 
 
+def letter_hashes(text: str) -> np.ndarray:
+    """Hashes of the distinct letters: what a text of one letter is judged by, which has no run of GRAM characters."""
+    letters = set(NOT_LETTERS.sub("", text.lower()))
+    points = np.frombuffer("".join(sorted(letters)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return splitmix(points.astype(np.uint64))
+
+
 def _cells(grams: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(splitmix(grams + np.uint64(i)) >> np.uint64(64 - bits)).astype(np.int64) for i in range(HASHES)]
 
 
+def _evidence(text: str) -> Iterator[np.ndarray]:
+    """Hashes of a text's n-grams, or of its letters if it has none."""
+    n = 0
+    for grams in gram_hashes(text):
+        n += len(grams)
+        yield grams
+    if not n:
+        yield letter_hashes(text)
+
+
 class Model:
     """Languages, the filter's cells (cell, word) and each language's chance of a false hit."""
 
@@ -69,7 +88,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts, total = np.zeros(len(self.languages)), 0
-        for grams in gram_hashes(text or ""):
+        for grams in _evidence(text or ""):
             first, *others = _cells(grams, self.bits)
             masks = self.table[first]
             for cells in others:
@@ -98,7 +117,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for grams in gram_hashes(text):
+                for grams in chain(gram_hashes(text), [letter_hashes(text)]):
                     grams = np.unique(grams).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(len(grams), numbers[name], np.int32))], names=["gram", "l"])
 
