@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, fagin, language, licenses, lsh_forest, mixing, preferences, repeats, sharding, sketches
+from wordloom.llm import bpe, fagin, host_rules, language, licenses, lsh_forest, mixing, preferences, repeats, sharding, sketches, turn_trie, whitening
+from wordloom.llm.twins import ORACLES  # noqa: F401
 from wordloom.session import spread
 
 
@@ -67,6 +68,19 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(spread(_table(spark, sf, "documents").select("doc_id", "text")), ["doc_id"])
 
 
+def op11_turn_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return turn_trie.shared_beginnings(_table(spark, sf, "conversations")).drop("turn_key")
+
+
+def op12_host_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents name no page; their source stands for the host."""
+    return host_rules.judge(spread(_table(spark, sf, "documents").select("doc_id", "source", "text")), ["doc_id"], "source")
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten_embeddings(_table(spark, sf, "embeddings"), ["vec_id"])
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mix_sources": op2_mix_sources,
@@ -78,6 +92,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_licenses": op10_licenses,
+    "op11_turn_trie": op11_turn_trie,
+    "op12_host_rules": op12_host_rules,
+    "op13_whitening": op13_whitening,
 }
-
-ORACLES: dict[str, str] = {}
