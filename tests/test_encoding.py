@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.operators import encoding as en
+from wordloom.operators import examples as ex
 from wordloom.operators import joins
 from wordloom.operators import vocabulary as vb
 from wordloom.schemas import COUNTS
@@ -32,7 +33,7 @@ EXPECTED = {
 }
 
 
-@pytest.mark.parametrize("way", ["arrow", "join", "salted", "auto"])
+@pytest.mark.parametrize("way", ["arrow", "join", "salted"])
 def test_encode(corpus, vocab, way, monkeypatch):
     if way == "salted":
         monkeypatch.setattr(joins, "broadcast_fits", lambda *a: False)
@@ -49,12 +50,40 @@ def test_ids_alone(corpus, vocab, way):
     assert {r.record_id: r.ids for r in rows.collect()} == {k: ids for k, (_, ids) in EXPECTED.items()}
 
 
-def test_large_vocabulary_takes_the_join(corpus, vocab):
-    encoder = en.Encoder(vocab, max_broadcast_bytes=10)
-    plan = encoder.encode(corpus)._jdf.queryExecution().toString()
-    assert "MapInArrow" not in plan
-    with pytest.raises(ValueError):
-        encoder.encode(corpus, way="arrow")
+def test_a_vocabulary_in_many_blocks_gives_the_same_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("conv_id AS record_id", "text")  # repeated ids
+    v = vb.Vocabulary(vb.word_counts(vb.tokenize_corpus(docs)), size=3000, special_tokens=["<S>", "</S>"])
+    one, many = en.Encoder(v), en.Encoder(v, block_bytes=1_500)
+    assert len(one._ship()[0]) == 1 and len(many._ship()[0]) > 4
+    rows = [sorted(map(str, e.encode(docs.repartition(3)).collect())) for e in (one, many)]
+    assert rows[0] == rows[1] and "Exchange" not in many.encode(docs)._jdf.queryExecution().executedPlan().toString()
+    thin = [sorted(map(str, e.encode(docs.repartition(3), thinning=en.Thinning()).collect())) for e in (one, many)]
+    assert thin[0] == thin[1] != rows[0]
+    ids = one.encode(docs, with_tokens=False).withColumn("kept", F.lit(1))
+    words = [sorted(map(str, en.decode(ids.repartition(3), v, block_bytes=b).collect())) for b in (1 << 26, 1_500)]
+    assert words[0] == words[1]
+    assert sorted(r.tokens for r in one.encode(docs).collect()) == sorted(r.tokens for r in en.decode(ids, v).collect())
+
+
+def test_thinning_while_encoding_equals_thinning_afterwards(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id AS record_id", "text")
+    counts = vb.word_counts(vb.tokenize_corpus(docs))
+    counts = counts.union(spark.createDataFrame([("<S>", 900), ("</S>", 5)], "word string, cnt long")).cache()
+    v = vb.Vocabulary(counts, size=800, special_tokens=["<S>", "</S>"])
+    encoder = en.Encoder(v)
+    for n, longest in ((0, 0), (6, 0), (6, 40)):
+        apart = ex.prepare_sequences(encoder.encode(docs), v, n, longest)
+        thinning = en.Thinning(shortest=2 * n + 1, longest=longest)
+        at_once = encoder.encode(docs, thinning=thinning)
+        assert at_once.columns == ["record_id", "ids"]
+        assert sorted(map(tuple, at_once.collect())) == sorted(map(tuple, apart.collect()))
+        assert at_once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_text_can_stay(corpus, vocab):
+    rows = en.Encoder(vocab).encode(corpus, keep_text=True)
+    assert rows.columns == ["record_id", "text", "ids", "tokens", "attention_mask"]
+    assert {r.record_id: r.text for r in rows.collect()} == {r.record_id: r.text for r in corpus.collect()}
 
 
 def test_small_vocabulary_moves_no_data(corpus, vocab, spark, sf):
@@ -107,9 +136,18 @@ def test_agrees_with_tokenizer_library(spark, vocab, corpus):
             assert got[key] == (out.ids, out.tokens, out.attention_mask)
 
 
-def test_repeated_ids_are_an_error(spark, vocab):
+def test_repeated_ids_are_records_of_their_own(spark, vocab):
     df = spark.createDataFrame([(1, "the cat"), (1, "dog")], "record_id long, text string")
-    encoder = en.Encoder(vocab)
-    assert encoder.encode(df, way="arrow").count() == 2
+    for block_bytes in (1 << 26, 10):
+        encoded = en.Encoder(vocab, block_bytes=block_bytes).encode(df)
+        assert encoded.count() == 2 == en.decode(encoded, vocab, block_bytes=block_bytes).count()
     with pytest.raises(Exception, match="unique ids"):
-        encoder.encode(df, way="join").collect()
+        en.Encoder(vocab).encode(df, way="join").collect()
+
+
+def test_decoding_without_an_unknown_token(spark, vocab):
+    v = vb.Vocabulary(vocab.counts, unk_token=None)
+    ids = spark.createDataFrame([([0, -1],)], "ids array<int>")
+    assert en.decode(ids, v).first().tokens == [v[0], v[-1]]
+    with pytest.raises(Exception, match="no word has the id"):
+        en.decode(spark.createDataFrame([([0, 99],)], "ids array<int>"), v).collect()

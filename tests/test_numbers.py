@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import numeric as nm
 from wordloom.operators import metrics as mt
+from wordloom.operators import quantiles as qt
 from wordloom.operators import statistics as st
 from wordloom.operators import vectors as vc
 from wordloom.schemas import COUNTS, METRICS
@@ -152,11 +153,11 @@ def test_analogy(vectors, matrix):
         vc.analogy(vectors, 1, 99, 3, 5).collect()
 
 
-@pytest.mark.parametrize("way", ["arrow", "join", "auto"])
-def test_context_means(spark, vectors, matrix, way):
+@pytest.mark.parametrize("way, block_bytes", [("arrow", 1 << 26), ("arrow", 60), ("join", 0)])
+def test_context_means(spark, vectors, matrix, way, block_bytes):
     rows = [(1, 0, [0, 1, 1, 5]), (1, 1, [3, 99]), (2, 0, [77, -1]), (2, 1, [])]
     ex = spark.createDataFrame(rows, "record_id long, start int, context array<int>").repartition(2)
-    got = {(r.record_id, r.start): r["mean"] for r in vc.context_means(ex, vectors, way=way).collect()}
+    got = {(r.record_id, r.start): r["mean"] for r in vc.context_means(ex, vectors, way=way, block_bytes=block_bytes).collect()}
     assert set(got) == {(1, 0), (1, 1)}
     assert got[1, 0] == pytest.approx(list(matrix[[0, 1, 1, 5]].astype(float).mean(axis=0)))
     assert got[1, 1] == pytest.approx(list(matrix[3].astype(float)))
@@ -166,7 +167,11 @@ def test_context_means(spark, vectors, matrix, way):
 def test_look_up_vectors(spark, vectors, matrix, way):
     rows = spark.createDataFrame([(i, 3 if i % 3 else i % 20) for i in range(60)], "k int, id int")
     got = {r.k: r.vector for r in vc.look_up_vectors(rows, vectors, way=way).collect()}
-    assert got == {i: [float(v) for v in matrix[j]] for i, j in ((r.k, r.id) for r in rows.collect()) if j < 12}
+    assert got == {i: [float(v) for v in matrix[j]] for i, j in ((r.k, r.id) for r in rows.collect()) if j < 12} | {
+        i: None for i in range(60) if i % 3 == 0 and i % 20 >= 12
+    }
+    kept = vc.look_up_vectors(rows, vectors, way=way, keep_missing=False)
+    assert kept.count() == sum(v is not None for v in got.values())
 
 
 def test_scores_match_brute_force(spark, vectors, matrix):
@@ -181,14 +186,69 @@ def test_scores_match_brute_force(spark, vectors, matrix):
     for i, context, center in rows:
         logits = matrix[context].astype(float).mean(axis=0) @ out.T + bias
         expected[i] = np.log(np.exp(logits).sum()) - logits[center]
-    scored = vc.score_examples(ex, vectors, output, rows_at_once=7)
+    scored = vc.score_examples(ex, vectors, output)
     assert {r.record_id: r.loss for r in scored.collect()} == pytest.approx(expected)
+    for block_bytes in (90, 250):
+        blocks = vc.score_examples(ex, vectors, output, block_bytes=block_bytes)
+        assert {r.record_id: r.loss for r in blocks.collect()} == pytest.approx(expected, abs=1e-9)
     assert vc.mean_loss(scored).first().loss == pytest.approx(np.mean(list(expected.values())))
     halves = [[v for k, v in expected.items() if k < 100], [v for k, v in expected.items() if k >= 100]]
     by_batch = vc.mean_loss(scored.withColumn("b", F.col("record_id") < 100), "b").first().loss
     assert by_batch == pytest.approx(np.mean([np.mean(h) for h in halves]))
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 26, 100])
+def test_criteria_over_negatives(spark, vectors, matrix, block_bytes):
+    rng = np.random.default_rng(11)
+    out, bias, prob = rng.normal(size=(12, 4)), rng.normal(size=12), rng.dirichlet(np.ones(12))
+    output = spark.createDataFrame([(i, out[i].tolist(), float(bias[i])) for i in range(12)], "id int, vector array<double>, bias double")
+    drawn_from = spark.createDataFrame([(i, float(prob[i])) for i in range(12)], "id int, prob double")
+    rows = [(i, rng.integers(0, 12, 1 + i % 4).tolist(), int(rng.integers(0, 12)), rng.integers(0, 12, i % 6).tolist()) for i in range(80)]
+    odd = [(80, [], 3, [1]), (81, [99], 3, [1]), (82, [4], 99, [1]), (83, [99, 4], 5, [77, 2])]
+    ex = spark.createDataFrame(rows + odd, "record_id long, context array<int>, center int, negatives array<int>").repartition(3)
+    negative, sampled, full = {80: None, 81: None, 82: None}, {80: None, 81: None, 82: None}, {80: None, 81: None, 82: None}
+    for i, context, center, others in [*rows, (83, [4], 5, [2])]:
+        x = matrix[context].astype(float).mean(axis=0) @ out.T + bias
+        negative[i] = np.log1p(np.exp(-x[center])) + sum(np.log1p(np.exp(x[j])) for j in others)
+        y = x - np.log(max(len(others) if i < 80 else 2, 1) * prob)
+        sampled[i] = np.log(np.exp(y[[center, *others]]).sum()) - y[center]
+        full[i] = np.log(np.exp(x).sum()) - x[center]
+    for name, expected in (("negative", negative), ("sampled", sampled), ("softmax", full)):
+        got = vc.score_examples(ex, vectors, output, name, drawn_from, block_bytes)
+        assert got.columns == ["record_id", "center", "loss"]
+        got = {r.record_id: r.loss for r in got.collect()}
+        assert {k for k, v in got.items() if v is None} == {80, 81, 82} and set(got) == set(expected)
+        assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in expected.items() if v is not None}, abs=1e-9)
+    with pytest.raises(ValueError, match="criterion"):
+        vc.score_examples(ex, vectors, criterion="other")
+
+
+def test_discriminant_axes(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(90, 5)) @ rng.normal(size=(5, 5)) + 50
+    label = np.arange(90) % 4
+    x[:, 0] += label
+    x[:, 2] -= label * label
+    rows = [(i, row.tolist(), int(k)) for i, (row, k) in enumerate(zip(x, label))]
+    rows += [(900, None, 1), (901, x[0].tolist(), None)]
+    df = spark.createDataFrame(rows, "id int, vector array<double>, label int").repartition(4)
+    found = vc.discriminant_axes(df, "label", 9)
+    mean = x.mean(axis=0)
+    between = sum((label == k).sum() * np.outer(m, m) for k in range(4) for m in [x[label == k].mean(axis=0) - mean])
+    within = sum((z := x[label == k] - x[label == k].mean(axis=0)).T @ z for k in range(4))
+    assert found.within == pytest.approx(within, abs=1e-8) and found.between == pytest.approx(between, abs=1e-8)
+    assert found.axes.shape == (5, 3) and found.n == 90
+    assert between @ found.axes == pytest.approx(within @ found.axes * found.values, abs=1e-7)
+    assert found.axes.T @ within @ found.axes == pytest.approx(np.eye(3), abs=1e-9)
+    expected = np.sort(np.linalg.eigvals(np.linalg.solve(within, between)).real)[::-1][:3]
+    assert found.values == pytest.approx(expected)
+    placed = {r.id: r.placed for r in vc.place(df, found.mean, found.axes).collect()}
+    assert placed[7] == pytest.approx(((x[7] - mean) @ found.axes).tolist()) and placed[900] is None
+    flat = df.withColumn("vector", F.transform("vector", lambda v: v * 0))
+    assert vc.discriminant_axes(flat, "label", 2).axes.shape[1] == 0
+    assert vc.discriminant_axes(df.limit(0), "label", 2).n == 0
+
+
 def test_principal_axes(vectors, matrix):
     model = vc.principal_axes(vectors, 2)
     centred = matrix.astype(float) - matrix.astype(float).mean(axis=0)
@@ -208,3 +268,43 @@ def test_training(spark, tmp_path):
     assert [(r.id, r.word, len(r.vector)) for r in found] == [(3, "king", 5)]
     assert vc.vectors_of(model).count() == 8
     assert vc.checkpoint_name(5, 50) == "checkpoint_05"
+
+
+# -- quantiles -------------------------------------------------------------------------
+
+
+def test_quantiles_equal_the_sorted_values(spark):
+    draw = np.random.default_rng(21)
+    mixed = [*(draw.normal(size=200) * 10.0 ** draw.integers(-300, 300, 200)).tolist(), -0.0, 0.0, 0.0, 5e-324, -5e-324, 1e308, float("inf"), float("-inf")]
+    tables = {
+        "double": [mixed, [*mixed, float("nan"), float("nan")], [-0.0, 0.0], [1.5] * 9, [float("nan")]],
+        "float": [[float(np.float32(x)) for x in draw.normal(size=50)]],
+        "bigint": [draw.integers(-(2**63), 2**63 - 1, 101).tolist(), [-(2**63), 2**63 - 1], [7] * 5, draw.integers(0, 90, 300).tolist()],
+        "int": [draw.integers(-5, 5, 64).tolist()],
+    }
+    shares = [0, 0.1, 0.25, 0.5, 0.75, 0.999, 1]
+    for kind, lists in tables.items():
+        for values in lists:
+            df = spark.createDataFrame([(v,) for v in [*values, None]], f"v {kind}").repartition(3)
+            ranks = sorted({0, len(values) // 3, len(values) - 1})
+            in_order = sorted(values, key=lambda v: (math.isnan(v), v))
+            assert list(map(str, qt.select_ranks(df, "v", ranks))) == [str(in_order[r] + 0) for r in ranks]
+            want = df.agg(F.percentile(F.col("v"), [float(s) for s in shares])).first()[0]
+            assert qt.quantiles(df, "v", shares) == pytest.approx(want, rel=1e-12, nan_ok=True)
+
+
+def test_weighted_quantiles_and_none(spark):
+    df = spark.createDataFrame([(3, 2), (9, 1), (3, 1), (1, 4), (8, 0), (None, 50), (7, None)], "v int, n int")
+    whole = sorted([3, 3, 9, 3, 1, 1, 1, 1])
+    assert qt.select_ranks(df, "v", list(range(8)), "n") == whole
+    assert qt.quantiles(df, "v", [0.3, 0.9], "n") == pytest.approx(list(np.quantile(whole, [0.3, 0.9])))
+    assert qt.quantiles(df.limit(0), "v", [0.5]) == [None]
+    with pytest.raises(IndexError):
+        qt.select_ranks(df, "v", [8], "n")
+
+
+def test_error_function():
+    x = np.concatenate([np.linspace(-8, 8, 20_001), [0.0, 1e-12, -1e-300, math.inf, -math.inf]])
+    want = np.array([math.erf(v) for v in x])
+    assert np.abs(nm.erf(x) - want).max() < 1e-15
+    assert np.isnan(nm.erf(np.array([math.nan])))[0]

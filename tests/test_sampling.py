@@ -148,34 +148,31 @@ def test_weights_shuffle_and_batches(spark):
 
 
 def test_keep_weight_falls_with_frequency(spark):
-    v = vb.Vocabulary(spark.createDataFrame([("the", 50), ("a", 15), ("and", 5)], COUNTS))
+    v = vb.Vocabulary(spark.createDataFrame([("salt", 900), ("oak", 60), ("fern", 40)], COUNTS))
     w = {r.word: r.keep_prob for r in sp.keep_weights(v).collect()}
-    assert w["the"] < w["a"] < w["and"]
-    f = 50 / 70
-    assert w["the"] == pytest.approx((math.sqrt(f / 1e-4) + 1) * 1e-4 / f)
+    assert w["salt"] < w["oak"] < w["fern"]
+    f = 900 / 1000
+    assert w["salt"] == pytest.approx((math.sqrt(f / 1e-4) + 1) * 1e-4 / f)
 
 
-SENTENCE = (
-    "<S> the result : they all get 32 mandates , with the likud pushed to second place with 30 , while labor falls "
-    "into the 3 . 25 % abyss and goes to pole paradise with a <UNK> 3 seats ( down from 24 ) . </S>"
-).split()
+RECORD = ["<S>", "salt", "from", "nine", "mills", "<UNK>", ",", "salt", "by", "ship", ".", "</S>"]
 
 
 @pytest.fixture(scope="module")
 def heavy(spark):
-    counter = Counter(SENTENCE)
-    counter["the"] += 50_000
-    return vb.Vocabulary(spark.createDataFrame(list(counter.items()), COUNTS), min_freq=0).update()
+    """A word that is nearly all of the corpus, and the words of the record."""
+    rows = [(w, 2) for w in RECORD if w not in ("salt", "<UNK>")] + [("salt", 800_000)]
+    return vb.Vocabulary(spark.createDataFrame(rows, COUNTS), min_freq=0)
 
 
 @pytest.mark.parametrize("way", ["arrow", "join"])
 def test_very_frequent_word_is_dropped(spark, heavy, way):
     ids = {r.word: r.id for r in heavy.encodable.collect()}
-    record = [(1, [ids[w] for w in SENTENCE]), (2, []), (3, [ids["the"]] * 3)]
+    record = [(1, [ids[w] for w in RECORD]), (2, []), (3, [ids["salt"]] * 3)]
     df = spark.createDataFrame(record, "record_id long, ids array<int>")
     thin = {r.record_id: r.ids for r in sp.subsample_ids(df, heavy, way=way).collect()}
-    assert ids["the"] not in thin[1] and len(thin[1]) < len(SENTENCE)
-    kept = [i for i in record[0][1] if i != ids["the"]]
+    assert ids["salt"] not in thin[1] and len(thin[1]) < len(RECORD)
+    kept = [i for i in record[0][1] if i != ids["salt"]]
     assert thin[1] == kept  # nothing else is dropped, and the order stays
     assert thin[2] == [] and thin[3] == []
 
@@ -223,10 +220,10 @@ def windows_of(spark, seq, n):
 
 
 def test_windows(spark):
-    assert windows_of(spark, [], 5) == [] and windows_of(spark, [1, 2, 3], 20) == []
-    ten = list(range(10))
-    assert windows_of(spark, ten, 3) == [ten[i : i + 7] for i in range(4)]
-    assert windows_of(spark, ten, 4) == [ten[:9], ten[1:]]
+    squares = [k * k for k in range(13)]
+    for n in (1, 2, 6):
+        assert windows_of(spark, squares, n) == [squares[i : i + 2 * n + 1] for i in range(13 - 2 * n)]
+    assert windows_of(spark, squares, 7) == windows_of(spark, [], 1) == windows_of(spark, [4, 9], 1) == []
 
 
 def test_center(spark):
@@ -235,19 +232,20 @@ def test_center(spark):
     assert (row.context, row.center) == ([10, 11, 13, 14], 12)
 
 
-def test_cbow_truncates_and_counts_windows(spark):
+def test_cbow_counts_the_windows_of_whole_records(spark):
     df = spark.createDataFrame([(i, list(range(n))) for i, n in enumerate([0, 8, 9, 30, 300])], "record_id long, ids array<int>")
     got = Counter(r.record_id for r in ex.cbow_examples(df, None, subsample=False).collect())
-    assert got == {2: 1, 3: 22, 4: 248}
-    assert sum(1 for _ in ex.cbow_examples(df, None, subsample=False, max_sequence_len=0).collect()) == 1 + 22 + 292
+    assert got == {2: 1, 3: 22, 4: 292}
+    cut = Counter(r.record_id for r in ex.cbow_examples(df, None, subsample=False, max_sequence_len=256).collect())
+    assert cut == {2: 1, 3: 22, 4: 248}
 
 
 def test_truncation_may_follow_thinning(spark, heavy):
     ids = {r.word: r.id for r in heavy.encodable.collect()}
-    df = spark.createDataFrame([(1, [ids["the"]] * 300 + [ids["pole"]] * 20)], "record_id long, ids array<int>")
-    first = ex.prepare_sequences(df, heavy, truncate_first=True).first().ids
-    whole = ex.prepare_sequences(df, heavy, truncate_first=False).first().ids
-    assert ids["pole"] not in first and whole.count(ids["pole"]) == 20
+    df = spark.createDataFrame([(1, [ids["salt"]] * 300 + [ids["ship"]] * 20)], "record_id long, ids array<int>")
+    first = ex.prepare_sequences(df, heavy, max_sequence_len=256, truncate_first=True).first().ids
+    whole = ex.prepare_sequences(df, heavy, max_sequence_len=256, truncate_first=False).first().ids
+    assert ids["ship"] not in first and whole.count(ids["ship"]) == 20
 
 
 def test_skipgram(spark):

@@ -1,13 +1,14 @@
 """Token ids for a corpus, and back.
 
-Two ways give the same rows. The Arrow way looks up whole batches against a vocabulary
-that was measured before it was broadcast, and moves no data. The join way explodes,
-joins and regroups by record; it takes vocabularies of any size.
+Words are looked up in Arrow batches: the distinct words of a batch against the blocks of the
+vocabulary, which takes any size of it and moves no data. The same pass wraps records, and thins out
+frequent words where that is asked for. The join way explodes, joins and regroups by record; it gives the same rows and needs unique record ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +18,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from wordloom.functions.hashing import record_state, uniform_np
 from wordloom.functions.text import TextFunction, normalize, parse_words, split_words
+from wordloom.operators.blocks import BLOCK_BYTES, Blocks, distinct_parts, flat_array, list_column, list_parts, places, ship
 from wordloom.operators.joins import regroup
+from wordloom.operators.sampling import weighted_table
 from wordloom.operators.vocabulary import Vocabulary
-from wordloom.schemas import END_TOKEN, START_TOKEN
-from wordloom.session import MAX_BROADCAST_BYTES, measured_bytes
+from wordloom.schemas import END_TOKEN, SEED, START_TOKEN, SUBSAMPLE_THRESHOLD
 
 
-def list_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Flat values and zero-based offsets of a list column, whatever slice it is."""
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
-    return column.flatten(), np.concatenate([[0], np.cumsum(lengths)])
+@dataclass(frozen=True)
+class Thinning:
+    """Thin out frequent words while encoding: position i of a record, the wrapping tokens included, meets the
+    i-th uniform number of that record. Records with fewer than ``shortest`` ids go first; ``longest`` cuts
+    ids before they are thinned, 0 keeps all."""
 
-
-def list_column(offsets: np.ndarray, values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    t: float = SUBSAMPLE_THRESHOLD
+    seed: int | str = SEED
+    key: tuple[str, ...] = ("record_id",)
+    shortest: int = 0
+    longest: int = 0
 
 
 class Encoder:
@@ -49,7 +55,7 @@ class Encoder:
         end: str = END_TOKEN,
         normalizer: TextFunction = normalize,
         splitter: TextFunction = split_words,
-        max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+        block_bytes: int = BLOCK_BYTES,
     ):
         for token in (start, end):
             if token not in vocabulary.specials:
@@ -61,28 +67,30 @@ class Encoder:
         self.start_id = vocabulary.specials.index(start)
         self.end_id = vocabulary.specials.index(end)
         self.normalizer, self.splitter = normalizer, splitter
-        self.max_broadcast_bytes = max_broadcast_bytes
-        self._shipped = None
+        self.block_bytes = block_bytes
+        self._shipped: dict[float | None, tuple[Blocks, list[float]]] = {}
 
-    def encode(self, corpus: DataFrame, key: str = "text", way: str = "auto", with_tokens: bool = True) -> DataFrame:
-        """Add the three arrays to a corpus, replacing the text. Training needs only the ids;
-        without tokens no text travels back from the lookup."""
+    def encode(
+        self, corpus: DataFrame, key: str = "text", way: str = "arrow", with_tokens: bool = True,
+        keep_text: bool = False, thinning: Thinning | None = None,
+    ) -> DataFrame:
+        """Add the three arrays to a corpus, in place of the text unless ``keep_text``. Training needs only
+        the ids; without tokens no text travels back from the lookup."""
         words = parse_words(key, self.normalizer, self.splitter)
-        others = [c for c in corpus.columns if c != key]
+        others = [c for c in corpus.columns if c != key or keep_text]
         split = corpus.select(*others, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-        return self.encode_words(split, way, with_tokens)
+        return self.encode_words(split, way, with_tokens, thinning)
 
-    def encode_words(self, split: DataFrame, way: str = "auto", with_tokens: bool = True) -> DataFrame:
+    def encode_words(
+        self, split: DataFrame, way: str = "arrow", with_tokens: bool = True, thinning: Thinning | None = None
+    ) -> DataFrame:
         """Encode an array column ``words`` that is split already."""
-        if way == "auto":
-            way = "arrow" if self._ship() else "join"
-        if way == "arrow":
-            encoded = self._encode_arrow(split, with_tokens)
-        else:
-            encoded = self._encode_join(split, with_tokens)
+        if thinning is not None:
+            return self._encode_arrow(split, False, thinning)
+        encoded = self._encode_join(split, with_tokens) if way == "join" else self._encode_arrow(split, with_tokens)
         return encoded.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("ids")))
 
-    def encode_pair(self, pairs: DataFrame, first: str, second: str, way: str = "auto") -> DataFrame:
+    def encode_pair(self, pairs: DataFrame, first: str, second: str, way: str = "arrow") -> DataFrame:
         """Two texts in one sequence, each wrapped, with ``type_ids`` 0 and 1."""
         others = [c for c in pairs.columns if c not in (first, second)]
 
@@ -103,26 +111,24 @@ class Encoder:
 
     # the Arrow way
 
-    def _ship(self):
-        """Broadcast the words once, if they were measured to fit."""
-        if self._shipped is None:
-            words = self.vocabulary.encodable.persist()
+    def _ship(self, t: float | None = None) -> tuple[Blocks, list[float]]:
+        """Blocks of (words, ids, keep weights) by the words' hash, and the weights of the unknown, start
+        and end tokens; all weights 1 without ``t``. Shipped once."""
+        if t not in self._shipped:
+            weight = F.lit(1.0).alias("keep_prob")
+            table = self.vocabulary.table.withColumn("keep_prob", weight) if t is None else weighted_table(self.vocabulary, t)
+            table = table.select("word", "id", F.coalesce("keep_prob", F.lit(1.0)).alias("keep_prob"), "is_special", "is_infrequent").persist()
             try:
-                self._shipped = False
-                if measured_bytes(words) <= self.max_broadcast_bytes:
-                    table = words.toArrow()
-                    context = words.sparkSession.sparkContext
-                    self._shipped = context.broadcast(
-                        (table["word"].to_pylist(), np.asarray(table["id"].to_numpy(), dtype=np.int32))
-                    )
+                heads = {r.word: r.keep_prob for r in table.filter("is_special").select("word", "keep_prob").collect()}
+                words = table.filter(~F.col("is_infrequent")).select("word", "id", "keep_prob")
+                blocks = ship(words, F.xxhash64("word"), _word_block, self.block_bytes)
             finally:
-                words.unpersist()
-        return self._shipped
+                table.unpersist()
+            self._shipped[t] = blocks, [heads[x] for x in (self.vocabulary.unk_token, self.start, self.end)]
+        return self._shipped[t]
 
-    def _encode_arrow(self, split: DataFrame, with_tokens: bool) -> DataFrame:
-        shipped = self._ship()
-        if not shipped:
-            raise ValueError("the vocabulary is too large to broadcast; use way='join'")
+    def _encode_arrow(self, split: DataFrame, with_tokens: bool, thinning: Thinning | None = None) -> DataFrame:
+        blocks, weights = self._ship(thinning.t if thinning else None)
         others = [f for f in split.schema.fields if f.name != "words"]
         added = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
         if with_tokens:
@@ -130,32 +136,44 @@ class Encoder:
         schema = T.StructType([*others, *added])
         out_schema = to_arrow_schema(schema)
         names = [f.name for f in others]
-        start, end, start_id, end_id = self.start, self.end, self.start_id, self.end_id
-        unk, unk_id = self.vocabulary.unk_token, self.vocabulary.unk_id
+        heads = [self.vocabulary.unk_id, self.start_id, self.end_id]
+        head_texts = [self.vocabulary.unk_token, self.start, self.end]
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, word_ids = shipped.value
-            value_set = pa.array(words, pa.string())
-            # last three entries: unknown, start, end
-            texts = pa.array([*words, unk, start, end], pa.string())
-            numbers = np.concatenate([word_ids, np.array([unk_id, start_id, end_id], dtype=np.int32)])
-            n = len(words)
-            for batch in batches:
-                flat, offsets = list_parts(batch.column(batch.schema.get_field_index("words")))
-                found = pc.fill_null(pc.index_in(flat, value_set=value_set), n)
+            for batch in blocks.gather(batches):
+                flat, offsets = list_parts(batch.column("words"))
+                distinct, codes = distinct_parts(flat)
+                n = len(distinct)
+                # of the distinct words, then unknown, start and end
+                ids = np.concatenate([np.full(n, heads[0]), heads]).astype(np.int32)
+                keep = np.concatenate([np.full(n, weights[0]), weights])
+                known = np.zeros(n, bool)
+                for words, word_ids, word_keep in blocks.visit():
+                    found = pc.index_in(distinct, value_set=words)
+                    here = np.asarray(found.is_valid())
+                    at = found.drop_null().to_numpy()
+                    ids[:n][here], keep[:n][here] = word_ids[at], word_keep[at]
+                    known |= here
                 wrapped = offsets + 2 * np.arange(len(offsets))
-                places = np.full(wrapped[-1], -1, dtype=np.int64)
-                places[wrapped[:-1]] = n + 1
-                places[wrapped[1:] - 1] = n + 2
-                places[places < 0] = np.asarray(found)
-                ids = pa.array(numbers[places], pa.int32())
-                arrays = [batch.column(batch.schema.get_field_index(name)) for name in names]
-                arrays.append(list_column(wrapped, ids))
+                place = np.full(wrapped[-1], -1, dtype=np.int64)
+                place[wrapped[:-1]] = n + 1
+                place[wrapped[1:] - 1] = n + 2
+                place[place < 0] = codes  # a null word is at n, the unknown token
+                if thinning is not None:
+                    state = batch.column("_state").to_numpy()
+                    place, wrapped = _thinned(place, wrapped, keep, state, thinning.longest)
+                arrays = [batch.column(name) for name in names]
+                arrays.append(list_column(wrapped, pa.array(ids[place])))
                 if with_tokens:
-                    arrays.append(list_column(wrapped, texts.take(pa.array(places))))
-                columns = [a.cast(f.type) for a, f in zip(arrays, out_schema)]
-                yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
+                    texts = pa.concat_arrays([distinct.cast(pa.string()), pa.array(head_texts, pa.string())])
+                    shown = np.where(np.concatenate([known, [True, True, True]])[place], place, n)
+                    arrays.append(list_column(wrapped, texts.take(pa.array(shown))))
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, out_schema)], schema=out_schema)
 
+        if thinning is not None:
+            if thinning.shortest:
+                split = split.filter(F.size("words") + 2 >= thinning.shortest)
+            split = split.withColumn("_state", record_state(thinning.seed, *thinning.key))
         return split.mapInArrow(look_up, schema)
 
     # the join way
@@ -183,12 +201,51 @@ class Encoder:
         return grouped.select(*others, *arrays)
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", record_id: str = "record_id") -> DataFrame:
-    """Ids back to words; ids out of range give the unknown token."""
-    rows = encoded.select(record_id, F.posexplode_outer(ids).alias("pos", "id"))
-    named = vocabulary.id_to_word(rows)
-    grouped = regroup(named, [record_id], F.struct("pos", "word"))
-    return grouped.select(record_id, F.transform("items", lambda x: x["word"]).alias("tokens"))
+def _word_block(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    return flat_array(rows["word"], pa.string()), rows["id"].to_numpy().astype(np.int32), rows["keep_prob"].to_numpy()
+
+
+def _thinned(place: np.ndarray, offsets: np.ndarray, keep: np.ndarray, states: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that stay, and their offsets. ``keep``: weight of each place; ``states``: one per record."""
+    lengths = np.diff(offsets)
+    pos = np.arange(len(place)) - np.repeat(offsets[:-1], lengths)
+    stays = keep[place] > uniform_np(np.repeat(states, lengths), pos)
+    if longest:
+        stays &= pos < longest
+    return place[stays], np.concatenate([[0], np.cumsum(stays)])[offsets]
+
+
+def decode(
+    encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", tokens: str = "tokens", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Add ``tokens``, the words of ``ids``; all other columns stay. Negative ids count from the end; null ids and ids out of
+    range give the unknown token, or fail if there is none; a null list decodes as an empty one."""
+    table = vocabulary.table.select("id", "word")
+    length = table.agg(F.count("*").cast("int")).first()[0]
+    blocks = ship(table, "id", lambda rows: (rows["id"].to_numpy(), flat_array(rows["word"], pa.string())), block_bytes)
+    unk = vocabulary.unk_token
+    others = [f for f in encoded.schema.fields if f.name != tokens]
+    schema = T.StructType([*others, T.StructField(tokens, T.ArrayType(T.StringType()))])
+    out_schema = to_arrow_schema(schema)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.gather(batches):
+            flat, offsets = list_parts(batch.column(ids))
+            wanted = pc.fill_null(flat.cast(pa.int64()), length).to_numpy(zero_copy_only=False)
+            wanted = np.where(wanted < 0, wanted + length, wanted)
+            at, texts = np.zeros(len(wanted), np.int64), [pa.array([unk], pa.string())]
+            for known, words in blocks.visit():
+                inside, place = places(known, wanted)
+                # only the words in use outlive their block
+                used, where = np.unique(place, return_inverse=True)
+                at[inside] = sum(map(len, texts)) + where
+                texts.append(words.take(pa.array(used)))
+            if unk is None and not at.all():
+                raise ValueError(f"no word has the id {wanted[at == 0][0]}")
+            arrays = [batch.column(f.name) for f in others] + [list_column(offsets, pa.concat_arrays(texts).take(pa.array(at)))]
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, out_schema)], schema=out_schema)
+
+    return encoded.mapInArrow(look_up, schema)
 
 
 def conversation_pairs(turns: DataFrame) -> DataFrame:

@@ -52,10 +52,10 @@ def _before(groups: Sequence[str]) -> Window:
 
 
 def _attach(df: DataFrame, pieces: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Join each row with its piece; null is a group like any other."""
+    """Join each row with its piece; null is a group like any other, and a range is never null."""
     keys = [*groups, "_range"]
     pieces = pieces.withColumnsRenamed({c: f"_of_{c}" for c in keys})
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    same = [F.col("_range") == F.col("_of__range"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in groups]]
     return df.join(pieces, reduce(and_, same)).drop(*[f"_of_{c}" for c in keys])
 
 

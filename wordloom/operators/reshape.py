@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wordloom.functions.text import ASCII_PUNCTUATION
-from wordloom.operators.joins import lookup
-from wordloom.schemas import VOCAB_SIZE
+from wordloom.operators.blocks import BLOCK_BYTES, distinct_parts, flat_array, list_parts, ship
+
+ROWS_OUT = 1 << 16  # rows of a batch that a task hands on
 
 
 def select_key(df: DataFrame, key: str = "text", record_id: str = "record_id") -> DataFrame:
@@ -93,29 +98,47 @@ def mask_items(values: Column | str, mask: Column | str) -> Column:
     return F.transform(kept, lambda z: z["value"])
 
 
-def is_punctuation(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.isin(list(ASCII_PUNCTUATION))
-
-
 def member_ngrams(
-    tokens: DataFrame, members: DataFrame, n: int, size: int = VOCAB_SIZE, words: str = "tokens"
+    tokens: DataFrame, members: DataFrame, n: int, words: str = "tokens", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """N-grams whose every item is in ``members(word)`` and is no ASCII punctuation.
 
-    One semi join per place, with a member table of at most ``size`` rows.
+    The distinct tokens of a batch are looked up once, in the blocks of the members. That marks every
+    token, n-grams are cut where ``n`` marks follow each other in a record, and nothing else is ever a row.
     """
-    others = [c for c in tokens.columns if c != words]
-    w = F.col(words)
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n))
-    items = [f"_w{i}" for i in range(n)]
-    grams = unnest(tokens, starts, "_item", "pos", [*others, words]).select(
-        *others, "pos", *[w[F.col("_item") + i].alias(item) for i, item in enumerate(items)]
-    )
-    # the cheap test goes first
-    for item in items:
-        grams = grams.filter(~is_punctuation(item))
-    listed = members.select(F.col("word").alias("_member"))
-    for item in items:
-        grams = lookup(grams, listed, item, "_member", size, "left_semi")
-    return grams.select(*others, "pos", F.concat_ws(" ", *items).alias("word"))
+    blocks = ship(members.select("word"), F.xxhash64("word"), lambda rows: flat_array(rows["word"], pa.string()), block_bytes)
+    others = [f for f in tokens.schema.fields if f.name != words]
+    schema = T.StructType([*others, T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType())])
+    out_schema = to_arrow_schema(schema)
+    punctuation = pa.array(list(ASCII_PUNCTUATION), pa.string())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.gather(batches):
+            flat, offsets = list_parts(batch.column(words))
+            distinct, codes = distinct_parts(flat)
+            member = np.zeros(len(distinct) + 1, bool)  # the last stands for null
+            for listed in blocks.visit():
+                member[:-1] |= np.asarray(pc.is_in(distinct, value_set=listed))
+            member[:-1] &= ~np.asarray(pc.is_in(distinct, value_set=punctuation))
+            mark = member[codes]
+            starts = np.flatnonzero(_runs(mark, n))
+            record = np.searchsorted(offsets, starts, side="right") - 1
+            within = starts + n <= offsets[record + 1]
+            starts, record = starts[within], record[within]
+            for lo in range(0, len(starts), ROWS_OUT):
+                at, row = starts[lo : lo + ROWS_OUT], pa.array(record[lo : lo + ROWS_OUT])
+                grams = pc.binary_join_element_wise(*[flat.take(pa.array(at + k)) for k in range(n)], " ")
+                pos = pa.array((at - offsets[record[lo : lo + ROWS_OUT]]).astype(np.int32))
+                arrays = [*[batch.column(f.name).take(row) for f in others], pos, grams]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, out_schema)], schema=out_schema)
+
+    return tokens.mapInArrow(cut, schema)
+
+
+def _runs(mark: np.ndarray, n: int) -> np.ndarray:
+    """Places from which ``n`` marks follow each other."""
+    last = max(len(mark) - n + 1, 0)
+    out = np.ones(last, bool)
+    for k in range(n):
+        out &= mark[k : k + last]
+    return out

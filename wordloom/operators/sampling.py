@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wordloom.functions.hashing import digest, record_state, uniform, uniform_np
-from wordloom.operators.encoding import list_column, list_parts
+from wordloom.operators.blocks import list_column, list_parts, places, ship
 from wordloom.operators.joins import lookup, regroup
 from wordloom.operators.ranking import hash_cut, shuffled_positions
+from wordloom.operators.reshape import infrequent
 from wordloom.operators.vocabulary import Vocabulary, most_common
 from wordloom.schemas import NEG_SAMPLE_COUNT, NEG_SAMPLE_POWER, SEED, SPLIT_SHARES, SUBSAMPLE_THRESHOLD
-from wordloom.session import MAX_BROADCAST_BYTES, measured_bytes
+from wordloom.session import MAX_BROADCAST_BYTES, local_table, measured_bytes
 
 COPIES_PER_BLOCK = 10_000
 
@@ -63,13 +64,14 @@ def interleave(
     weights: Mapping[str, float] | None = None,
     key: str = "record_id",
     seed: int = SEED,
-    ordered: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
     """Mix sources by weight until every source is used up at least once.
 
     With ``T = max(n / weight)`` a source gives ``round(T · weight)`` rows: whole copies of
     itself, and the part of one more copy that comes first in hash order. ``copy_no`` tells
-    copies apart. Weights default to the sizes, which uses each row exactly once.
+    copies apart. Weights default to the sizes, which uses each row exactly once. The rows come
+    in mixed order, that of a hash; without ``ordered`` they come source after source and nothing is sorted.
     """
     sizes = {name: df.count() for name, df in sources.items()}
     sizes = {name: n for name, n in sizes.items() if n} or {name: 0 for name in list(sizes)[:1]}
@@ -91,6 +93,12 @@ def interleave(
     return mixed
 
 
+def mixed_positions(mixed: DataFrame, key: str = "record_id", seed: int = SEED) -> DataFrame:
+    """Add ``position``, the place of each row in the order of an interleaved mix."""
+    keyed = mixed.withColumn("_mixed", F.concat_ws(":", "source", F.col("copy_no").cast("string"), F.col(key).cast("string")))
+    return shuffled_positions(keyed, "_mixed", seed).drop("_mixed")
+
+
 def _copies(df: DataFrame, times: Column, at_most: int) -> DataFrame:
     """Each row ``times`` times, with ``copy_no``. Many copies are made block by block, and
     the blocks of one row go to different tasks."""
@@ -153,15 +161,34 @@ def keep_probability(count: Column, total: Column, t: float | Column = SUBSAMPLE
 def keep_weights(vocabulary: Vocabulary, t: float = SUBSAMPLE_THRESHOLD) -> DataFrame:
     """``(word, cnt, keep_prob)`` of the ``size`` most frequent words. The total that
     frequencies refer to is the sum over these words."""
-    top = most_common(vocabulary.counts, vocabulary.size).select("word", "cnt")
+    return _weighted(vocabulary, t).select("word", "cnt", "keep_prob")
+
+
+def _weighted(vocabulary: Vocabulary, t: float) -> DataFrame:
+    """The ``size`` most frequent words with their rank and ``keep_prob``."""
+    top = most_common(vocabulary.counts, vocabulary.size)
     # an aggregate over the same bounded rows; every row gets the sum beside it
     total = F.sum("cnt").over(Window.partitionBy(F.lit(0)))
     return top.withColumn("keep_prob", keep_probability(F.col("cnt"), total, t))
 
 
 def weighted_table(vocabulary: Vocabulary, t: float = SUBSAMPLE_THRESHOLD) -> DataFrame:
-    """The id table with ``keep_prob``; one lookup then serves encoding and subsampling."""
-    return vocabulary.table.join(keep_weights(vocabulary, t).select("word", "keep_prob"), "word", "left")
+    """The id table with ``keep_prob``; one lookup then serves encoding and subsampling.
+
+    Both come from one ranking: the ids number its words that are not special, in order.
+    """
+    specials = vocabulary.specials
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    special = F.col("word").isin(specials) if specials else F.lit(False)
+    ranked = _weighted(vocabulary, t).withColumn("_special", special)
+    place = F.col("rank") - F.sum(F.col("_special").cast("int")).over(before) + len(specials)
+    ranked = ranked.withColumn("id", place.cast("int"))
+    words = ranked.filter(~F.col("_special") & (F.col("id") < vocabulary.size)).select(
+        "id", "word", "cnt", F.lit(False).alias("is_special"), infrequent("cnt", vocabulary.min_freq).alias("is_infrequent"), "keep_prob"
+    )
+    heads = local_table(vocabulary.counts.sparkSession, [(i, word, True, False) for i, word in enumerate(specials)], "id int, word string, is_special boolean, is_infrequent boolean")
+    counted = heads.join(ranked.filter("_special").select("word", "keep_prob"), "word", "left")
+    return words.unionByName(counted.withColumn("cnt", F.lit(None).cast("bigint")))
 
 
 def subsample_tokens(
@@ -188,41 +215,38 @@ def subsample_ids(
     t: float = SUBSAMPLE_THRESHOLD,
     seed: int = SEED,
     key: str = "record_id",
-    way: str = "auto",
+    way: str = "arrow",
 ) -> DataFrame:
     """Thin out frequent words of the array ``ids``.
 
-    Position i of a record meets the i-th uniform number of that record. Weights by id form
-    one array of at most ``size`` numbers. Where that was measured to fit it is broadcast
-    and records stay in place; otherwise the ids are joined and regrouped by record.
+    Position i of a record meets the i-th uniform number of that record. The weights travel in blocks of
+    ids and records stay in place; the join way, for records with unique ids, gives the same rows.
     """
     table = weighted_table(vocabulary, t).select("id", F.coalesce("keep_prob", F.lit(1.0)).alias("keep_prob"))
-    if way == "auto":
-        way = "arrow" if 16 * vocabulary.size <= MAX_BROADCAST_BYTES else "join"
-    if way == "arrow":
-        return _subsample_arrow(encoded, table, seed, key)
-    return _subsample_join(encoded, table, vocabulary.size, seed, key)
+    if way == "join":
+        return _subsample_join(encoded, table, vocabulary.size, seed, key)
+    return _subsample_arrow(encoded, table, seed, key)
 
 
 def _subsample_arrow(encoded: DataFrame, table: DataFrame, seed: int, key: str) -> DataFrame:
-    found = table.toArrow()
-    probs = np.ones(found.num_rows)
-    probs[found["id"].to_numpy()] = found["keep_prob"].to_numpy()
-    shipped = encoded.sparkSession.sparkContext.broadcast(probs)
+    blocks = ship(table, "id", lambda rows: (rows["id"].to_numpy(), rows["keep_prob"].to_numpy()))
     others = [f for f in encoded.schema.fields if f.name not in ("ids", "tokens", "attention_mask")]
     schema = T.StructType([*others, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     out_schema = to_arrow_schema(schema)
     names = [f.name for f in others]
 
     def thin(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shipped.value
-        for batch in record_batches:
+        for batch in blocks.gather(record_batches):
             flat, offsets = list_parts(batch.column("ids"))
             ids = flat.to_numpy(zero_copy_only=False)
+            weights = np.ones(len(ids))
+            for known, keep_prob in blocks.visit():
+                inside, place = places(known, ids)
+                weights[inside] = keep_prob[place]
             lengths = np.diff(offsets)
             states = np.repeat(batch.column("_state").to_numpy(), lengths)
             pos = np.arange(len(ids)) - np.repeat(offsets[:-1], lengths)
-            keep = weights[ids] > uniform_np(states, pos)
+            keep = weights > uniform_np(states, pos)
             kept_before = np.concatenate([[0], np.cumsum(keep)])
             thinned = list_column(kept_before[offsets], pa.array(ids[keep], pa.int32()))
             arrays = [batch.column(name) for name in names] + [thinned]

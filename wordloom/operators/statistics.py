@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.numeric import linspace
+from wordloom.operators.quantiles import quantiles
 from wordloom.operators.sampling import keep_probability
 from wordloom.operators.vocabulary import count_frequencies, most_common
+from wordloom.session import materialize
 
 
 def histogram(df: DataFrame, value: str, name: str = "n") -> DataFrame:
@@ -20,21 +22,20 @@ def histogram(df: DataFrame, value: str, name: str = "n") -> DataFrame:
 def describe(df: DataFrame, value: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of an integer column.
 
-    The rows are first counted per value, so the exact quartiles come from as many entries
-    as there are distinct values, and one frequent value is one entry.
+    The rows are first counted per value, so one frequent value is one entry of the sums, and the exact
+    quartiles come from counts of ranges of values: no task holds all of them.
     """
-    h = histogram(df.filter(F.col(value).isNotNull()), value, "_n")
+    h = materialize(histogram(df.filter(F.col(value).isNotNull()), value, "_n"), "histogram")
     n = F.sum("_n")
     whole = F.col(value).cast("decimal(19,0)")
     s1 = F.sum((whole * F.col("_n")).cast("decimal(38,0)"))
     s2 = F.sum((whole * whole).cast("decimal(38,0)").cast("double") * F.col("_n"))
-    quartiles = F.percentile(F.col(value), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]), F.col("_n"))
+    quartiles = F.lit(quantiles(h, value, (0.25, 0.5, 0.75), "_n")).cast("array<double>")
     summed = h.agg(
         n.alias("n"),
         s1.cast("double").alias("s1"),
         s2.alias("s2"),
         F.min(value).cast("double").alias("min"),
-        quartiles.alias("q"),
         F.max(value).cast("double").alias("max"),
     )
     variance = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)
@@ -43,9 +44,9 @@ def describe(df: DataFrame, value: str) -> DataFrame:
         (F.col("s1") / F.when(F.col("n") > 0, F.col("n"))).alias("mean"),
         F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("std"),
         "min",
-        F.col("q")[0].alias("p25"),
-        F.col("q")[1].alias("p50"),
-        F.col("q")[2].alias("p75"),
+        quartiles[0].alias("p25"),
+        quartiles[1].alias("p50"),
+        quartiles[2].alias("p75"),
         "max",
     )
 

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.operators.encoding import list_column, list_parts
-from wordloom.operators.joins import SALTS
+from wordloom.operators.blocks import BLOCK_BYTES, Blocks, list_column, list_parts, places, ship, vector_rows
+from wordloom.operators.joins import SALTS, attach
 from wordloom.schemas import (
     CHECKPOINT_EVERY,
     EMBED_DIMENSION,
@@ -24,7 +26,11 @@ from wordloom.schemas import (
     N_CONTEXT,
     SEED,
 )
-from wordloom.session import MAX_BROADCAST_BYTES, measured_bytes
+from wordloom.session import MAX_BROADCAST_BYTES, materialize, measured_bytes
+
+CRITERIA = ("softmax", "negative", "sampled")
+LOGITS = 1 << 22  # logits that exist at one time
+ROWS = 1 << 14  # candidates whose vectors exist at one time
 
 # -- training --------------------------------------------------------------------------
 
@@ -121,28 +127,39 @@ def context_means(
     examples: DataFrame,
     vectors: DataFrame,
     keys: Sequence[str] = ("record_id", "start"),
-    way: str = "auto",
+    way: str = "arrow",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Mean of the vectors of each example's context ids. An id without a vector counts for
     nothing, and an example without any vector disappears.
 
-    Vectors that were measured to fit are broadcast and examples stay in place. If not, ids
-    are joined with the vectors under salts, which spread a frequent id over many tasks, and
-    each example gathers its ``2n`` vectors at most.
+    The vectors travel in blocks of ids, whatever their number, and examples stay in place. The join
+    way gives the same rows: ids are joined with the vectors under salts, and each example gathers its ``2n`` vectors at most.
     """
     table = vectors.select("id", "vector")
-    if way == "auto":
-        way = "arrow" if measured_bytes(table) <= MAX_BROADCAST_BYTES else "join"
     found = examples.select(*keys, "context")
-    return _means_arrow(found, table, keys) if way == "arrow" else _means_join(found, table, keys)
+    return _means_join(found, table, keys) if way == "join" else _means_arrow(found, table, keys, block_bytes)
+
+
+def _vector_block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return rows["id"].to_numpy(), vector_rows(rows)
 
 
-def _matrix(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in order and their vectors as the rows of a matrix, of a table measured before."""
-    found = table.orderBy("id").toArrow()
-    column = found["vector"].combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return found["id"].to_numpy(), flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
+def _sums(blocks: Blocks, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the vectors of each example's ids and how many ids have one."""
+    n = np.zeros(len(offsets) - 1, np.int64)
+    total = np.zeros((len(n), 0))
+    for known, matrix in blocks.visit():
+        if not len(known):
+            continue
+        inside, place = places(known, flat)
+        row = np.full(len(flat), len(known))
+        row[inside] = place
+        # one more row, of zeros, for ids that are not in this block
+        means, found = _mean_rows(np.vstack([matrix, np.zeros((1, matrix.shape[1]), matrix.dtype)]), row, offsets)
+        total = means * found[:, None] if not total.size else total + means * found[:, None]
+        n += found
+    return total, n
 
 
 def _mean_rows(padded: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,29 +173,26 @@ def _mean_rows(padded: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> tup
     return padded[place].sum(axis=1, dtype=np.float64) / np.maximum(n, 1)[:, None], n
 
 
-def _means_arrow(examples: DataFrame, table: DataFrame, keys: Sequence[str], rows_at_once: int = 2048) -> DataFrame:
-    shipped = examples.sparkSession.sparkContext.broadcast(_matrix(table))
+def _means_arrow(
+    examples: DataFrame, table: DataFrame, keys: Sequence[str], block_bytes: int, rows_at_once: int = 2048
+) -> DataFrame:
+    blocks = ship(table, "id", _vector_block, block_bytes)
     schema = T.StructType(
         [*[examples.schema[k] for k in keys], T.StructField("mean", T.ArrayType(T.DoubleType()))]
     )
 
     def average(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, matrix = shipped.value
-        if not len(known):
-            return
-        # one more row, of zeros, for ids without a vector
-        padded = np.vstack([matrix, np.zeros((1, matrix.shape[1]), matrix.dtype)])
-        for whole in record_batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
+        for whole in blocks.gather(record_batches):
+            rows_here = rows_at_once if len(blocks) == 1 else whole.num_rows
+            for at in range(0, whole.num_rows, max(rows_here, 1)):
+                batch = whole.slice(at, rows_here)
                 flat, offsets = list_parts(batch.column("context"))
-                ids = flat.to_numpy(zero_copy_only=False)
-                row = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-                row = np.where(known[row] == ids, row, len(known))
-                means, n = _mean_rows(padded, row, offsets)
+                total, n = _sums(blocks, flat.to_numpy(zero_copy_only=False), offsets)
                 keep = n > 0
-                means = means[keep]
-                ends = np.arange(len(means) + 1) * matrix.shape[1]
+                if not keep.any():
+                    continue
+                means = total[keep] / n[keep][:, None]
+                ends = np.arange(len(means) + 1) * means.shape[1]
                 kept = batch.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(
                     [*[kept.column(k) for k in keys], list_column(ends, pa.array(means.ravel()))],
@@ -189,10 +203,10 @@ def _means_arrow(examples: DataFrame, table: DataFrame, keys: Sequence[str], row
 
 
 def look_up_vectors(
-    rows: DataFrame, vectors: DataFrame, id: str = "id", way: str = "auto", keep_missing: bool = False
+    rows: DataFrame, vectors: DataFrame, id: str = "id", way: str = "auto", keep_missing: bool = True
 ) -> DataFrame:
-    """Add ``vector`` to rows with an id; rows whose id has none are dropped, or kept with a null
-    vector if ``keep_missing``.
+    """Add ``vector`` to rows with an id; rows whose id has none keep a null vector, or are dropped
+    without ``keep_missing``.
 
     Vectors that were measured to fit are broadcast. If not, they are copied under salts, so
     that a frequent id spreads over many tasks.
@@ -211,7 +225,7 @@ def look_up_vectors(
 def _means_join(examples: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = examples.select(*keys, F.posexplode("context").alias("place", "_id"))
     gathered = (
-        look_up_vectors(rows, table, "_id", "join")
+        look_up_vectors(rows, table, "_id", "join", keep_missing=False)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("place", "vector"))).alias("_found"))
     )
@@ -249,6 +263,112 @@ def project(vectors: DataFrame, model: PCAModel, column: str = "vector") -> Data
     return model.transform(dense).withColumn("projected", vector_to_array("projected")).drop("features")
 
 
+@dataclass
+class Discriminant:
+    """Axes (columns) along which labels differ most, relative to how rows of a label differ."""
+
+    n: int
+    mean: np.ndarray
+    within: np.ndarray  # scatter of rows around their label's mean
+    between: np.ndarray  # scatter of the labels' means, by their rows
+    values: np.ndarray  # between over within along each axis, falling
+    axes: np.ndarray
+
+
+def _scatter(rows: DataFrame, d: int) -> np.ndarray:
+    """Sum of ``weight * vector vector'`` over the rows, added up in the tasks and then row by row of the matrix."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for batch in batches:
+            x = vector_rows(pa.Table.from_batches([batch]))
+            if len(x):
+                total += (x * batch.column("weight").to_numpy()[:, None]).T @ x
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(total.tolist())], names=["i", "row"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # rows of the matrix that fell to this task
+        for batch in batches:
+            for i, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[i] = total.get(i, 0.0) + row.values.to_numpy()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([r.tolist() for r in total.values()])], names=["i", "row"])
+
+    schema = "i int, row array<double>"
+    found = rows.select("vector", "weight").mapInArrow(partial, schema).repartition("i").mapInArrow(add, schema).collect()
+    out = np.zeros((d, d))
+    for r in found:
+        out[r.i] = r.row
+    return out
+
+
+def discriminant_axes(vectors: DataFrame, label: str = "label", k: int = 2, column: str = "vector") -> Discriminant:
+    """At most ``k`` axes a with between a = value · within a, of unit scatter within labels.
+
+    Rows without a vector or a label take no part. Labels may be many: their means are one aggregation, and only what has the
+    size of the dimension comes to the driver. Directions in which no label has any spread are left out.
+    """
+    rows = vectors.filter(F.col(column).isNotNull() & F.col(label).isNotNull())
+    rows = rows.select(F.col(label).alias("label"), F.transform(column, lambda x: x.cast("double")).alias("vector"))
+    means = rows.groupBy("label").agg(F.count("*").alias("n"), Summarizer.mean(array_to_vector("vector")).alias("mean"))
+    means = materialize(means.select("label", "n", vector_to_array("mean").alias("mean")), "label-means")
+    parts = means.select(F.col("n").cast("double").alias("weight"), F.posexplode("mean").alias("pos", "x"))
+    sums = parts.groupBy("pos").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("n"))
+    sums = sorted(sums.collect(), key=lambda r: r.pos)
+    n, d = int(sums[0].n) if sums else 0, len(sums)
+    mean = np.array([r.mean for r in sums])
+    empty = Discriminant(n, mean, np.zeros((d, d)), np.zeros((d, d)), np.zeros(0), np.zeros((d, 0)))
+    if not d:
+        return empty
+    centre = F.lit(mean.tolist())
+    apart = means.select(F.zip_with("mean", centre, lambda x, m: x - m).alias("vector"), F.col("n").cast("double").alias("weight"))
+    joined = attach(rows, means.select(F.col("label").alias("_label"), "mean"), "label", "_label")
+    around = joined.select(F.zip_with("vector", "mean", lambda x, m: x - m).alias("vector"), F.lit(1.0).alias("weight"))
+    between, within = _scatter(apart, d), _scatter(around, d)
+    spread, turn = np.linalg.eigh(within)
+    usable = spread > d * np.finfo(float).eps * max(spread.max(), 0.0) if spread.max() > 0 else np.zeros(d, bool)
+    if not usable.any():
+        return replace(empty, within=within, between=between)
+    scaled = turn[:, usable] / np.sqrt(spread[usable])
+    values, axes = np.linalg.eigh(scaled.T @ between @ scaled)
+    k = min(k, means.count() - 1, len(values))
+    values, axes = values[::-1][:k], (scaled @ axes[:, ::-1])[:, :k]
+    largest = axes[np.abs(axes).argmax(axis=0), np.arange(k)]
+    return Discriminant(n, mean, within, between, values, axes * np.where(largest < 0, -1.0, 1.0))
+
+
+def place(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, column: str = "vector") -> DataFrame:
+    """Add ``placed``: the coordinates of each vector, less the mean, along the axes (columns)."""
+    less = F.zip_with(column, F.lit(mean.tolist()), lambda x, m: x.cast("double") - m)
+    return vectors.withColumn("placed", F.when(F.col(column).isNotNull(), F.array(*[dot(less, F.lit(a.tolist())) for a in axes.T])))
+
+
+def eigen_residuals(vectors: DataFrame, label: str, axes: np.ndarray, values: np.ndarray, column: str = "vector") -> DataFrame:
+    """``(axis, value, residual)``: how far each axis a is from between a = value · within a, relative to the
+    greatest entry of between a. From the rows alone: scatter times a is a sum over rows of vector times coordinate."""
+    rows = vectors.filter(F.col(column).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(label).alias("label"), F.transform(column, lambda x: x.cast("double")).alias("vector")
+    )
+    rows = place(rows, np.zeros(len(axes)), axes)
+    long = rows.select("label", "placed", F.posexplode("vector").alias("pos", "x")).select(
+        "label", "pos", "x", F.posexplode("placed").alias("axis", "p")
+    )
+    # sums of products per label; around the means they are sums of products less n times the product of means
+    per = long.groupBy("axis", "pos", "label").agg(
+        F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum("p").alias("sp"), F.sum(F.col("x") * F.col("p")).alias("sxp")
+    )
+    total = per.groupBy("axis", "pos").agg(
+        F.sum(F.col("sxp") - F.col("sx") * F.col("sp") / F.col("n")).alias("within"),
+        (F.sum(F.col("sx") * F.col("sp") / F.col("n")) - F.sum("sx") * F.sum("sp") / F.sum("n")).alias("between"),
+    )
+    value = F.lit(values.tolist())[F.col("axis")]
+    return total.groupBy("axis").agg(
+        F.first(value).alias("value"),
+        (F.max(F.abs(F.col("between") - value * F.col("within"))) / F.max(F.abs("between"))).alias("residual"),
+    )
+
+
 # -- scoring ---------------------------------------------------------------------------
 
 
@@ -256,47 +376,124 @@ def score_examples(
     examples: DataFrame,
     embeddings: DataFrame,
     output: DataFrame | None = None,
-    rows_at_once: int = 1024,
+    criterion: str = "softmax",
+    distribution: DataFrame | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Cross-entropy of each example: embed the context, average, apply the output layer,
-    compare the softmax with the centre.
+    """Add ``loss``: embed the context, average, apply the output layer, compare with the centre.
+
+    ``embeddings(id, vector)`` and ``output(id, vector, bias)`` may have any number of rows; without an output
+    layer the embeddings serve with bias 0. Both are visited block by block, and an example carries
+    from block to block what its loss needs, so the result does not depend on the blocks. Examples never move.
 
-    ``embeddings(id, vector)`` and ``output(id, vector, bias)`` need the ids 0…V−1; without
-    an output layer the embeddings serve with bias 0. Both have at most vocabulary-size
-    rows, measured before they are broadcast. Examples never move.
+    - ``softmax``: cross-entropy over all rows of ``output``. Carried: the greatest logit so far, the sum of
+      exponentials below it, the logit of the centre.
+    - ``negative``: logistic loss of the centre as positive and the ids in ``negatives`` as negatives.
+    - ``sampled``: cross-entropy over the centre and its ``negatives``, each logit less the logarithm of how often
+      ``distribution(id, prob)`` is expected to draw it.
+
+    Context ids without a vector count for nothing; without any, or with a centre that ``output`` does not hold, the loss is null.
+    Negatives without output weights are left out.
     """
+    if criterion not in CRITERIA:
+        raise ValueError(f"unknown criterion {criterion}; there are {', '.join(CRITERIA)}")
     output = embeddings.withColumn("bias", F.lit(0.0)) if output is None else output
-    for table in (embeddings, output):
-        if measured_bytes(table.select("id", "vector")) > MAX_BROADCAST_BYTES:
-            raise ValueError("the weights are too large to broadcast; lower the vocabulary size or dimension")
-    bias = output.orderBy("id").select(F.col("bias").cast("double")).toArrow()["bias"].to_numpy()
-    embed, weights = (_matrix(t.select("id", "vector"))[1].astype(np.float64) for t in (embeddings, output))
-    shipped = examples.sparkSession.sparkContext.broadcast((embed, weights, bias))
+    output = output.select("id", "vector", F.col("bias").cast("double").alias("bias"))
+    if criterion == "sampled":
+        if distribution is None:
+            raise ValueError("the sampled criterion needs the distribution of the negatives")
+        output = output.join(distribution.select("id", F.col("prob").cast("double").alias("prob")), "id", "left")
+    else:
+        output = output.withColumn("prob", F.lit(1.0))
+    embedded = ship(embeddings.select("id", "vector"), "id", _vector_block, block_bytes)
+    weights = ship(output, "id", _output_block, block_bytes)
+    dropped = ("context", "negatives")
     schema = T.StructType(
-        [*[f for f in examples.schema.fields if f.name != "context"], T.StructField("loss", T.DoubleType())]
+        [*[f for f in examples.schema.fields if f.name not in dropped], T.StructField("loss", T.DoubleType())]
     )
     names = [f.name for f in schema.fields[:-1]]
+    one_block = len(embedded) == len(weights) == 1
 
     def score(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed, weights, biases = shipped.value
-        padded = np.vstack([embed, np.zeros((1, embed.shape[1]))])
-        for whole in record_batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
+        for whole in (embedded if len(embedded) > 1 else weights).gather(record_batches):
+            rows = 1024 if one_block else max(whole.num_rows, 1)
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 flat, offsets = list_parts(batch.column("context"))
-                means, _ = _mean_rows(padded, flat.to_numpy(zero_copy_only=False), offsets)
-                logits = means @ weights.T + biases
-                peak = logits.max(axis=1)
-                log_sum = peak + np.log(np.exp(logits - peak[:, None]).sum(axis=1))
-                center = batch.column("center").to_numpy()
-                loss = log_sum - logits[np.arange(len(center)), center]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(name) for name in names], pa.array(loss)], names=[*names, "loss"]
-                )
+                total, n = _sums(embedded, flat.to_numpy(zero_copy_only=False), offsets)
+                means = total / np.maximum(n, 1)[:, None]
+                center = batch.column("center").to_numpy(zero_copy_only=False)
+                if criterion == "softmax":
+                    loss, known = _softmax_loss(weights, means, center)
+                else:
+                    drawn, bounds = list_parts(batch.column("negatives"))
+                    loss, known = _candidate_loss(weights, means, center, drawn.to_numpy(zero_copy_only=False), bounds, criterion)
+                column = pa.array(loss, mask=~(known & (n > 0)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], column], names=[*names, "loss"])
 
     return examples.mapInArrow(score, schema)
 
 
+def _output_block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return rows["id"].to_numpy(), vector_rows(rows), rows["bias"].to_numpy(), rows["prob"].to_numpy()
+
+
+def _softmax_loss(weights: Blocks, means: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of each example and whether its centre has weights."""
+    m = len(means)
+    peak, total, own = np.full(m, -np.inf), np.zeros(m), np.zeros(m)
+    known = np.zeros(m, bool)
+    for ids, matrix, bias, _ in weights.visit():
+        if not len(ids) or not means.shape[1]:
+            continue
+        matrix = matrix.astype(np.float64)
+        step = max(LOGITS // len(ids), 1)
+        for lo in range(0, m, step):
+            part = slice(lo, lo + step)
+            logits = means[part] @ matrix.T + bias
+            top = np.maximum(peak[part], logits.max(axis=1))
+            total[part] = total[part] * np.exp(peak[part] - top) + np.exp(logits - top[:, None]).sum(axis=1)
+            peak[part] = top
+            here, place = places(ids, center[part])
+            own[part][here] = logits[here, place]
+            known[part] |= here
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return peak + np.log(total) - own, known
+
+
+def _candidate_loss(
+    weights: Blocks, means: np.ndarray, center: np.ndarray, drawn: np.ndarray, bounds: np.ndarray, criterion: str
+) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of each example over its centre and its negatives, and whether the centre has weights."""
+    m, lengths = len(means), np.diff(bounds)
+    owner = np.concatenate([np.arange(m), np.repeat(np.arange(m), lengths)])
+    wanted = np.concatenate([center, drawn])
+    logits, prob, known = np.zeros(len(wanted)), np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    for ids, matrix, bias, share in weights.visit():
+        here, place = places(ids, wanted)
+        at = np.flatnonzero(here)
+        for lo in range(0, len(at), ROWS):
+            part, rows = at[lo : lo + ROWS], place[lo : lo + ROWS]
+            logits[part] = np.einsum("ij,ij->i", means[owner[part]], matrix[rows].astype(np.float64)) + bias[rows]
+            prob[part] = share[rows]
+        known |= here
+    own, others, user = logits[:m], logits[m:], owner[m:]
+    if criterion == "negative":
+        # log(1 + exp(-x)) for the centre, log(1 + exp(x)) for a negative
+        loss = np.logaddexp(0.0, -own)
+        np.add.at(loss, user, np.where(known[m:], np.logaddexp(0.0, others), 0.0))
+        return loss, known[:m]
+    with np.errstate(divide="ignore"):
+        corrected = logits - np.log(np.concatenate([np.maximum(lengths, 1), np.repeat(lengths, lengths)]) * prob)
+    corrected = np.where(known & (prob > 0), corrected, -np.inf)
+    peak = corrected[:m].copy()
+    np.maximum.at(peak, user, corrected[m:])
+    with np.errstate(invalid="ignore"):
+        total = np.exp(corrected[:m] - peak)
+        np.add.at(total, user, np.exp(corrected[m:] - peak[user]))
+        return peak + np.log(total) - corrected[:m], known[:m] & (prob[:m] > 0)
+
+
 def mean_loss(scored: DataFrame, batch: str | None = None) -> DataFrame:
     """Mean cross-entropy; with a batch column the mean of the batch means."""
     if batch is None:

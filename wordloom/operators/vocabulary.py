@@ -43,9 +43,9 @@ def word_counts_rollup(tokens: DataFrame, by: str) -> DataFrame:
     return counts.unionByName(total.withColumn(by, F.lit(None).cast(counts.schema[by].dataType)))
 
 
-def ngram_counts(tokens: DataFrame, members: DataFrame, n: int, size: int = VOCAB_SIZE) -> DataFrame:
-    """Count n-grams built only from ``members`` words, at most ``size`` of them."""
-    return member_ngrams(tokens, members, n, size).groupBy("word").agg(F.count("*").alias("cnt"))
+def ngram_counts(tokens: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """Count n-grams built only from ``members`` words."""
+    return member_ngrams(tokens, members, n).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
 def merge_counts(parts: Sequence[DataFrame]) -> DataFrame:
@@ -201,7 +201,7 @@ class Vocabulary:
     def _or_unknown(self, found: Column, word: Column, strict: bool) -> Column:
         if self.unk_id is not None and not strict:
             return F.coalesce(found, F.lit(self.unk_id))
-        failure = F.raise_error(F.concat(word, F.lit(" is not in vocab"))).cast("int")
+        failure = F.raise_error(F.concat(F.lit("unknown word: "), F.coalesce(word, F.lit("null")))).cast("int")
         return F.when(found.isNotNull(), found).otherwise(failure)
 
     def missing(self, df: DataFrame, word: str = "word") -> DataFrame:
@@ -228,7 +228,7 @@ class Vocabulary:
         if self.unk_token:
             word = F.coalesce("word", F.lit(self.unk_token))
         else:
-            failure = F.raise_error(F.concat(F.col(id).cast("string"), F.lit(" out of vocab range")))
+            failure = F.raise_error(F.concat(F.lit("no word has the id "), F.coalesce(F.col(id).cast("string"), F.lit("null"))))
             word = F.when(F.col("word").isNotNull(), F.col("word")).otherwise(failure.cast("string"))
         return joined.withColumn("word", word).drop("_wanted")
 

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,11 +25,13 @@ from wordloom.operators import metrics as mt
 from wordloom.operators import reshape as rs
 from wordloom.operators import sampling as sp
 from wordloom.operators import statistics as st
+from wordloom.operators import subwords as sw
+from wordloom.operators import training as tn
 from wordloom.operators import vectors as vc
 from wordloom.operators import vocabulary as vb
-from wordloom.operators.encoding import Encoder, conversation_pairs, decode
+from wordloom.operators.encoding import Encoder, Thinning, conversation_pairs, decode
 from wordloom.operators.ranking import row_numbers, shuffled_positions
-from wordloom.plans import build_vocab, clean_data
+from wordloom.plans import build_vocab, clean_data, train
 from wordloom.plans.recipes import RECIPES
 from wordloom.schemas import END_TOKEN, START_TOKEN
 from wordloom.session import local_table, materialize, shared_dir, spread
@@ -40,6 +43,7 @@ QUERIES: dict[str, Query] = {}
 # small enough that the size limit cuts the vocabulary of the small tables
 SIZE = 5000
 SPECIALS = [START_TOKEN, END_TOKEN]
+PIECE_MERGES = 48
 N = 4
 
 
@@ -93,7 +97,7 @@ def vocabulary(spark: SparkSession, sf: str, stored: bool = True) -> vb.Vocabula
     return vb.Vocabulary(found, size=SIZE, special_tokens=SPECIALS)
 
 
-def encoded(spark: SparkSession, sf: str, vocab: vb.Vocabulary, way: str = "auto") -> DataFrame:
+def encoded(spark: SparkSession, sf: str, vocab: vb.Vocabulary, way: str = "arrow") -> DataFrame:
     return Encoder(vocab).encode(documents(spark, sf), way=way)
 
 
@@ -173,6 +177,28 @@ def save_shards(spark, sf):
     return saved.agg(F.countDistinct("file").alias("n_files"), F.count("*").alias("n_records"))
 
 
+@query
+def refuse_overwrite(spark, sf):
+    """A corpus is prepared once; the second time is refused and leaves what there is."""
+    path, refused = shared_dir(spark, "once"), 0
+    for step in (tx.normalize, tx.lowercase):
+        try:
+            corpora.prepare(documents(spark, sf), path, [step])
+        except FileExistsError:
+            refused += 1
+    kept = corpora.load_prepared(spark, path).agg(F.count("*").alias("n_records"), F.sum(F.length("text")).alias("n_chars"))
+    return kept.withColumn("refused", F.lit(refused))
+
+
+@query
+def vocabulary_items(spark, sf):
+    """One word or one id at a time, as from a dictionary."""
+    vocab = vocabulary(spark, sf)
+    asked = ["<S>", "the", "de", "no such word", 0, 1, 7, SIZE - 1, SIZE + 5, -1]
+    rows = [(str(item), str(vocab[item])) for item in asked]
+    return local_table(spark, rows, "item string, found string")
+
+
 @query
 def count_records(spark, sf):
     steps = [tx.normalize, partial(tx.split_sentences, kind="plain")]
@@ -287,13 +313,13 @@ def fitting_records(spark, sf):
 @query
 def member_bigrams(spark, sf):
     members = vocabulary(spark, sf).table.select("word")
-    return rs.member_ngrams(vb.tokenize_corpus(turns(spark, sf)), members, 2, SIZE)
+    return rs.member_ngrams(vb.tokenize_corpus(turns(spark, sf)), members, 2)
 
 
 @query
 def member_trigrams(spark, sf):
     members = vocabulary(spark, sf).table.select("word")
-    return rs.member_ngrams(vb.tokenize_corpus(turns(spark, sf)), members, 3, SIZE)
+    return rs.member_ngrams(vb.tokenize_corpus(turns(spark, sf)), members, 3)
 
 
 @query
@@ -465,7 +491,8 @@ def look_up_vectors(spark, sf):
     rows = sequences(spark, sf, vocabulary(spark, sf)).select("record_id", F.posexplode("ids").alias("pos", "id"))
     found = vc.look_up_vectors(rows, vectors(spark, sf))
     return found.groupBy("record_id").agg(
-        F.count("*").alias("n_found"), F.round(F.sum(F.col("vector")[0].cast("double")), 6).alias("sum_first")
+        F.count("*").alias("n_rows"), F.count("vector").alias("n_found"),
+        F.round(F.sum(F.col("vector")[0].cast("double")), 6).alias("sum_first"),
     )
 
 
@@ -597,6 +624,29 @@ def interleave(spark, sf):
     return mixed.select("source", "record_id", "copy_no")
 
 
+@query
+def interleave_order(spark, sf):
+    sources = {"documents": documents(spark, sf), "turns": turns(spark, sf), "benchmark": benchmark(spark, sf)}
+    mixed = sp.interleave(sources, {"documents": 0.5, "turns": 0.3, "benchmark": 0.2}, ordered=False)
+    return sp.mixed_positions(mixed).select("source", "record_id", "copy_no", "position")
+
+
+@query
+def train_job(spark, sf):
+    """The loss table of a short training over two corpora: what is logged, and that the loss falls and is finite."""
+    out = shared_dir(spark, "trained")
+    mix = {"documents": documents(spark, sf), "turns": turns(spark, sf)}
+    mix = {name: df.withColumn("record_id", F.col("record_id").cast("string")) for name, df in mix.items()}
+    options = tn.Training(dimension=16, epochs=2, learning_rate=0.05, checkpoint_every=1, examples_per_task=1 << 14)
+    train.train(mix, vocabulary(spark, sf), out, options)
+    whole = run_logs.read_metrics(spark, f"{out}/metrics").filter("step IS NULL")
+    first, last = F.min_by("loss", "epoch"), F.max_by("loss", "epoch")
+    per_phase = whole.groupBy("phase").agg(F.count("*").alias("n_epochs"), (last < first).alias("falls"))
+    sizes = [spark.read.parquet(f"{out}/encoded/{x}").select(F.lit(x).alias("phase"), F.size("ids").alias("n")) for x in ("train", "val")]
+    sizes = sizes[0].unionByName(sizes[1]).groupBy("phase").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_ids"))
+    return per_phase.join(sizes, "phase")
+
+
 @query
 def shuffle_order(spark, sf):
     docs = documents(spark, sf).select("record_id")
@@ -643,8 +693,7 @@ def keep_weights(spark, sf):
 
 @query
 def subsample_words(spark, sf):
-    vocab = vocabulary(spark, sf)
-    thin = sp.subsample_ids(sequences(spark, sf, vocab), vocab)
+    thin = Encoder(vocabulary(spark, sf)).encode(documents(spark, sf), thinning=Thinning())
     return thin.select("record_id", joined("ids").alias("ids"))
 
 
@@ -665,8 +714,7 @@ def negative_distribution(spark, sf):
 @query
 def draw_negatives(spark, sf):
     vocab = vocabulary(spark, sf)
-    whole = ex.prepare_sequences(sequences(spark, sf, vocab), vocab, max_sequence_len=0)
-    windows = ex.skipgram_windows(whole)
+    windows = ex.skipgram_windows(ex.thinned_sequences(documents(spark, sf), Encoder(vocab)))
     drawn = sp.draw_negatives(windows, sp.negative_distribution(vocab))
     return drawn.select("record_id", "start", "center", joined("negatives").alias("negatives"))
 
@@ -683,15 +731,13 @@ def context_windows(spark, sf):
 
 @query
 def cbow_examples(spark, sf):
-    vocab = vocabulary(spark, sf)
-    found = ex.cbow_examples(sequences(spark, sf, vocab), vocab)
+    found = ex.cbow_from_texts(documents(spark, sf), Encoder(vocabulary(spark, sf)))
     return found.select("record_id", "start", joined("context").alias("context"), "center")
 
 
 @query
 def skipgram_pairs(spark, sf):
-    vocab = vocabulary(spark, sf)
-    windows = ex.skipgram_windows(ex.prepare_sequences(sequences(spark, sf, vocab), vocab))
+    windows = ex.skipgram_windows(ex.thinned_sequences(documents(spark, sf), Encoder(vocabulary(spark, sf))))
     return ex.skipgram_pairs(windows).groupBy("record_id", "center").agg(
         F.count("*").alias("n_pairs"), F.sum("target").alias("sum_targets"), F.sum("label").alias("n_positive")
     )
@@ -860,7 +906,7 @@ def small_examples(spark, sf) -> DataFrame:
     """Examples of whole documents whose ids fall onto the stored vectors."""
     vocab = vocabulary(spark, sf)
     n = table(spark, sf, "embeddings").count()
-    found = ex.cbow_examples(sequences(spark, sf, vocab), vocab, max_sequence_len=0, subsample=False)
+    found = ex.cbow_examples(sequences(spark, sf, vocab), vocab, subsample=False)
     return found.select(
         "record_id",
         "start",
@@ -869,15 +915,21 @@ def small_examples(spark, sf) -> DataFrame:
     )
 
 
-@query
-def context_means(spark, sf):
+def turn_examples(spark, sf) -> DataFrame:
+    """Examples of whole conversation turns whose ids fall onto the stored vectors."""
     vocab = vocabulary(spark, sf)
     n = table(spark, sf, "embeddings").count()
     split = vb.tokenize_corpus(turns(spark, sf)).withColumnRenamed("tokens", "words")
     enc = Encoder(vocab).encode_words(split, with_tokens=False)
     found = ex.cbow_examples(enc, vocab, subsample=False)
-    placed = found.select("record_id", "start", F.transform("context", lambda i: i % n).alias("context"))
-    means = vc.context_means(placed, vectors(spark, sf))
+    return found.select(
+        "record_id", "start", F.transform("context", lambda i: i % n).alias("context"), (F.col("center") % n).alias("center")
+    )
+
+
+@query
+def context_means(spark, sf):
+    means = vc.context_means(turn_examples(spark, sf), vectors(spark, sf))
     return means.select("record_id", "start", F.round(F.col("mean")[0], 6).alias("first"), F.round(F.col("mean")[63], 6).alias("last"))
 
 
@@ -885,7 +937,35 @@ def context_means(spark, sf):
 def score_examples(spark, sf):
     scored = vc.score_examples(small_examples(spark, sf), vectors(spark, sf).select("id", "vector"))
     placed = scored.withColumn("batch", F.floor(F.col("record_id") / 64))
-    return vc.mean_loss(placed, "batch")
+    return rounded(vc.mean_loss(placed, "batch"), "loss")
+
+
+def scored_turns(spark, sf, criterion: str) -> DataFrame:
+    """Losses of turns, against five negatives that follow from the example, drawn as if by ``prob``."""
+    found = vectors(spark, sf).select("id", "vector").withColumn("bias", (F.col("id") % 3) / 10)
+    n = found.count()
+    strength = F.col("id") % 7 + 1
+    total = found.agg(F.sum(strength)).first()[0]
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: ((F.col("center") * 7 + F.col("start") * 3 + j * 13) % n).cast("int"))
+    placed = turn_examples(spark, sf).withColumn("negatives", drawn)
+    prob = found.select("id", (strength / total).alias("prob"))
+    scored = vc.score_examples(placed, found.drop("bias"), found, criterion, prob)
+    return scored.groupBy("record_id").agg(F.count("*").alias("n_examples"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+@query
+def score_softmax(spark, sf):
+    return scored_turns(spark, sf, "softmax")
+
+
+@query
+def score_negative_sampling(spark, sf):
+    return scored_turns(spark, sf, "negative")
+
+
+@query
+def score_sampled_softmax(spark, sf):
+    return scored_turns(spark, sf, "sampled")
 
 
 @query
@@ -900,17 +980,43 @@ def principal_axes(spark, sf):
     return placed.select("id", F.round(F.abs(F.col("projected")[0]), 4).alias("axis1"))
 
 
-def piece_splitter():
-    """Stands for a subword model: pieces of up to four letters."""
-    piece = re.compile(r".{1,4}")
-    return lambda text: [p for word in text.split(" ") for p in piece.findall(word)]
+@query
+def discriminant_axes(spark, sf):
+    """Each axis with its equation checked on the rows, and the scatter that SQL can tell as well."""
+    found = vc.discriminant_axes(vectors(spark, sf), "label", 64)
+    checked = vc.eigen_residuals(vectors(spark, sf), "label", found.axes, found.values)
+    return checked.select(
+        (F.col("axis") + 1).alias("axis"), (F.col("residual") < 1e-6).alias("holds"), F.lit(found.n).cast("bigint").alias("n"),
+        F.lit(round(float(np.trace(found.between)), 6)).alias("between"), F.lit(round(float(np.trace(found.within)), 6)).alias("within"),
+    )
+
+
+@query
+def principal_equations(spark, sf):
+    """The two principal axes: the equation of each, checked on the rows. Scatter around the one mean is that between rows as
+    labels of their own; within them there is none, so the axes' own multiples stand in."""
+    found = vectors(spark, sf)
+    model = vc.principal_axes(found, 2)
+    axes = model.pc.toArray()
+    dense = found.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    n = dense.count()
+    long = vc.place(dense, np.zeros(len(axes)), axes).select("placed", F.posexplode("vector").alias("pos", "x"))
+    long = long.select("pos", "x", F.posexplode("placed").alias("axis", "p"))
+    times = long.groupBy("axis", "pos").agg(((F.sum(F.col("x") * F.col("p")) - F.sum("x") * F.sum("p") / n) / (n - 1)).alias("y"))
+    weights = F.lit(axes.T.tolist())[F.col("axis")][F.col("pos")]
+    value = F.sum(F.col("y") * weights)
+    checked = times.withColumn("a", weights).groupBy("axis").agg(
+        value.alias("value"), F.sum(F.col("y") * F.col("y")).alias("square"), F.sum(F.col("a") * F.col("a")).alias("norm")
+    )
+    # |C a - value a|^2 = |C a|^2 - value^2 for a unit axis
+    rest = F.sqrt(F.abs(F.col("square") - F.col("value") ** 2)) / F.col("value")
+    return checked.select((F.col("axis") + 1).alias("axis"), ((rest < 1e-6) & (F.abs(F.col("norm") - 1) < 1e-9)).alias("holds"))
 
 
 @query
 def subword_counts(spark, sf):
-    pieces = tx.from_python(piece_splitter, "array<string>")
-    normal = documents(spark, sf).withColumn("text", tx.normalize("text"))
-    return vb.word_counts(normal.select("record_id", pieces("text").alias("tokens")))
+    """Counts of the pieces that 48 merges leave of the words."""
+    return sw.learn_subwords(stored_counts(spark, sf), PIECE_MERGES).counts()
 
 
 # -- streams ---------------------------------------------------------------------------
@@ -940,6 +1046,22 @@ def stream_vocabulary(spark, sf):
     return vb.Vocabulary(total, size=SIZE, special_tokens=SPECIALS).table
 
 
+@query
+def stream_running(spark, sf):
+    """The vocabulary of a stream that stops after half of the documents and goes on from its checkpoint, read after the
+    first half was folded."""
+    folder, path, check, out = (shared_dir(spark, f"running-{x}") for x in ("in", "counts", "check", "folded"))
+    streaming.use_disk_state(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    first = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) < 2**31
+    for half in (first, ~first):
+        docs.filter(half).write.mode("append").parquet(folder)
+        stream = streaming.read_stream(spark, folder, docs.schema, "text", "doc_id")
+        streaming.keep_running_counts(stream, path, check).awaitTermination()
+    streaming.compact_running(spark, path, out, 0)
+    return vb.Vocabulary(streaming.running_total(spark, out), size=SIZE, special_tokens=SPECIALS).table
+
+
 @query
 def stream_clean(spark, sf):
     path, check = shared_dir(spark, "stream-clean"), shared_dir(spark, "stream-check")

@@ -99,11 +99,11 @@ WEIGHTS = f"""weights AS MATERIALIZED (
   FROM (SELECT word, cnt, cnt::DOUBLE / sum(cnt) OVER () AS f
         FROM (SELECT word, cnt FROM counts ORDER BY cnt DESC, word LIMIT {SIZE})))"""
 
-# sequences: long enough, first 256 ids, thinned
+# sequences: long enough, thinned
 THIN = [
     *ENC,
     WEIGHTS,
-    f"""cut AS (SELECT record_id, list_slice(ids, 1, 256) AS ids FROM enc WHERE len(ids) >= 9),
+    f"""cut AS (SELECT record_id, ids FROM enc WHERE len(ids) >= 9),
     thin_rows AS (SELECT record_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM cut),
     thin AS MATERIALIZED (
       SELECT record_id, list(id ORDER BY pos) AS ids FROM (
@@ -239,6 +239,8 @@ ORACLES["blank_whitespace"] = with_(CONTROLS) + r"""
 SELECT record_id, regexp_replace(text, '[\s\p{Z}]', ' ', 'g') AS text FROM controls"""
 ORACLES["normalize_text"] = f"SELECT doc_id AS record_id, {norm('text')} AS text FROM documents"
 RULES = rule_sentences("text", "(SELECT doc_id AS record_id, text FROM documents)")
+ORACLES["refuse_overwrite"] = f"""
+SELECT count(*) AS n_records, sum(length({norm('text')}))::BIGINT AS n_chars, 1 AS refused FROM documents"""
 ORACLES["split_sentences"] = with_(*RULES) + "SELECT record_id, sent_no, text FROM sentences"
 ORACLES["split_sentences_plain"] = PLAIN_SENTENCES
 ORACLES["split_sentences_model"] = PLAIN_SENTENCES
@@ -350,8 +352,8 @@ ORACLES["delete_words"] = (
     with_(*COUNTS, "rest AS (SELECT * FROM counts WHERE word NOT IN ('.', 'the', 'de'))", vocab("rest")) + VOCAB_COLUMNS
 )
 ORACLES["look_up_vectors"] = with_(*ENC) + """
-SELECT r.record_id, count(*) AS n_found, round(sum(e.embedding[1]::DOUBLE), 6) AS sum_first
-FROM enc_rows r JOIN embeddings e ON r.id = e.vec_id GROUP BY r.record_id"""
+SELECT r.record_id, count(*) AS n_rows, count(e.vec_id) AS n_found, round(sum(e.embedding[1]::DOUBLE), 6) AS sum_first
+FROM enc_rows r LEFT JOIN embeddings e ON r.id = e.vec_id GROUP BY r.record_id"""
 
 # -- vocabulary ------------------------------------------------------------------------
 
@@ -389,6 +391,12 @@ ORACLES["build_vocab_job"] = (
 )
 ORACLES["vocabulary_table"] = with_(*VOCAB) + VOCAB_COLUMNS
 ORACLES["stream_vocabulary"] = ORACLES["vocabulary_table"]
+ORACLES["stream_running"] = ORACLES["vocabulary_table"]
+ORACLES["vocabulary_items"] = with_(*VOCAB) + f"""
+SELECT item, coalesce((SELECT id::VARCHAR FROM vocab WHERE word = item AND NOT is_infrequent), '0') AS found
+FROM (SELECT unnest(['<S>', 'the', 'de', 'no such word']) AS item)
+UNION ALL SELECT i::VARCHAR, coalesce((SELECT word FROM vocab WHERE id = CASE WHEN i < 0 THEN i + (SELECT count(*) FROM vocab) ELSE i END), '<UNK>')
+FROM (SELECT unnest([0, 1, 7, {SIZE} - 1, {SIZE} + 5, -1]) AS i)"""
 ORACLES["update_vocabulary"] = (
     with_(
         DOCS, TURNS, count("docs", "c1"), count("turns", "c2"),
@@ -440,12 +448,20 @@ def mixed(name: str, rows: str, weight: float) -> str:
           FROM (SELECT record_id, count(*) OVER () AS n, (SELECT t FROM total) AS total FROM {rows}))"""
 
 
-ORACLES["interleave"] = f"""
-WITH d AS (SELECT doc_id AS record_id FROM documents), c AS (SELECT conv_id * 1000 + turn AS record_id FROM conversations),
+MIXED = f"""d AS (SELECT doc_id AS record_id FROM documents), c AS (SELECT conv_id * 1000 + turn AS record_id FROM conversations),
 b AS (SELECT item_id AS record_id FROM benchmark),
 total AS (SELECT greatest((SELECT count(*) FROM d) / 0.5::DOUBLE, (SELECT count(*) FROM c) / 0.3::DOUBLE,
-                          (SELECT count(*) FROM b) / 0.2::DOUBLE) AS t)
-{mixed('documents', 'd', 0.5)} UNION ALL {mixed('turns', 'c', 0.3)} UNION ALL {mixed('benchmark', 'b', 0.2)}"""
+                          (SELECT count(*) FROM b) / 0.2::DOUBLE) AS t),
+mixed AS ({mixed('documents', 'd', 0.5)} UNION ALL {mixed('turns', 'c', 0.3)} UNION ALL {mixed('benchmark', 'b', 0.2)})"""
+ORACLES["interleave"] = with_(MIXED) + "SELECT source, record_id, copy_no FROM mixed"
+ORACLES["interleave_order"] = with_(MIXED) + f"""
+SELECT source, record_id, copy_no, row_number() OVER (ORDER BY {digest('1337', 'source', 'copy_no', 'record_id')}) - 1 AS position FROM mixed"""
+ORACLES["train_job"] = with_(DOCS, TURNS) + f"""
+SELECT phase, 2::BIGINT AS n_epochs, TRUE AS falls, count(*) AS n_records, sum(n_ids)::BIGINT AS n_ids FROM (
+  SELECT n_ids, CASE WHEN r <= floor(n * 0.75) THEN 'train' WHEN r <= n - floor(n * 0.10) THEN 'val' ELSE 'test' END AS phase FROM (
+    SELECT len(tok) + 2 AS n_ids, row_number() OVER (PARTITION BY source ORDER BY {digest('1337', 'record_id')}) AS r, count(*) OVER (PARTITION BY source) AS n
+    FROM (SELECT 'd' AS source, record_id, tok FROM docs UNION ALL SELECT 't', record_id, tok FROM turns)))
+WHERE phase <> 'test' GROUP BY phase"""
 ORACLES["shuffle_order"] = f"""
 SELECT doc_id AS record_id, row_number() OVER (ORDER BY {digest('1337:0', 'doc_id')}) - 1 AS position FROM documents"""
 BATCHES = f"""batches AS (
@@ -483,7 +499,7 @@ def starts(reach: str = "4") -> str:
 ORACLES["context_windows"] = with_(*ENC) + f"""
 SELECT record_id, start::INT AS start, array_to_string(list_slice(ids, start + 1, start + 9), ' ') AS ids FROM (
   SELECT record_id, ids, {starts()} AS start FROM (
-    SELECT record_id, list_slice(ids, 1, 256) AS ids FROM enc WHERE len(ids) >= 9))"""
+    SELECT record_id, ids FROM enc WHERE len(ids) >= 9))"""
 ORACLES["cbow_examples"] = with_(*THIN) + f"""
 SELECT record_id, start::INT AS start,
   array_to_string(list_slice(ids, start + 1, start + 4) || list_slice(ids, start + 6, start + 9), ' ') AS context,
@@ -590,18 +606,94 @@ ORACLES["context_means"] = with_(*VOCAB, TURNS, encoded("turns")) + f"""
 SELECT record_id, start::INT AS start, round(avg(e.embedding[1]::DOUBLE), 6) AS first, round(avg(e.embedding[64]::DOUBLE), 6) AS last
 FROM (SELECT record_id, start, unnest(list_slice(ids, start + 1, start + 4) || list_slice(ids, start + 6, start + 9)) AS id
       FROM (SELECT record_id, ids, {starts()} AS start FROM (
-        SELECT record_id, list_slice(ids, 1, 256) AS ids FROM enc WHERE len(ids) >= 9))) c
+        SELECT record_id, ids FROM enc WHERE len(ids) >= 9))) c
 JOIN embeddings e ON e.vec_id = c.id % (SELECT count(*) FROM embeddings) GROUP BY record_id, start"""
+# a logit is the mean over the context of inner products, plus a bias; gram holds the inner products of each vector with all
+GRAM = """vecs AS MATERIALIZED (
+  SELECT vec_id::INT AS id, embedding::DOUBLE[] AS v, vec_id % 3 / 10.0::DOUBLE AS bias, (vec_id % 7 + 1) / (sum(vec_id % 7 + 1) OVER ())::DOUBLE AS prob
+  FROM embeddings),
+pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS dot FROM vecs a, vecs b),
+gram AS MATERIALIZED (SELECT a, list(dot ORDER BY b) AS dots FROM pairs GROUP BY a),
+biases AS MATERIALIZED (SELECT list(bias ORDER BY id) AS biases FROM vecs)"""
+
+
+def cbow(source: str) -> str:
+    return f"""examples AS MATERIALIZED (
+  SELECT record_id, start, list_transform(list_slice(ids, start + 1, start + 4) || list_slice(ids, start + 6, start + 9),
+    lambda i: (i % size)::INT) AS context, (ids[start + 5] % size)::INT AS center
+  FROM (SELECT record_id, ids, size, {starts()} AS start FROM {source}, (SELECT count(*) AS size FROM embeddings) WHERE len(ids) >= 9))"""
+
+
+def softmax(bias: str) -> str:
+    """Losses over all vectors: (record_id, start, loss)."""
+    dots = " JOIN ".join(["examples e", *[f"gram g{i} ON g{i}.a = e.context[{i}]" for i in range(1, 9)]])
+    total = " + ".join(f"g{i}.dots[j]" for i in range(1, 9))
+    return f"""losses AS (
+  SELECT record_id, start, ln(list_sum(list_transform(logits, lambda x: exp(x)))) - logits[center + 1] AS loss FROM (
+    SELECT e.record_id, e.start, e.center, list_transform(range(1, len(g1.dots) + 1), lambda j: ({total}) / 8 + {bias}) AS logits
+    FROM {dots}, biases))"""
+
+
+PER_RECORD = "SELECT record_id, count(*) AS n_examples, round(avg(loss), 6) AS loss FROM losses GROUP BY record_id"
+CANDIDATES = """candidates AS (
+  SELECT record_id, start, context, j, CASE WHEN j = 0 THEN center ELSE ((center * 7 + start * 3 + j * 13) % (SELECT count(*) FROM embeddings))::INT END AS id
+  FROM examples, range(0, 6) r(j)),
+logits AS (
+  SELECT c.record_id, c.start, c.j, any_value(v.prob) AS prob, avg(p.dot) + any_value(v.bias) AS x
+  FROM (SELECT *, unnest(context) AS a FROM candidates) c JOIN pairs p ON p.a = c.a AND p.b = c.id JOIN vecs v ON v.id = c.id
+  GROUP BY c.record_id, c.start, c.j)"""
+TURN_EXAMPLES = [*VOCAB, TURNS, encoded("turns"), GRAM, cbow("enc")]
+ORACLES["score_softmax"] = with_(*TURN_EXAMPLES, softmax("biases[j]")) + PER_RECORD
+ORACLES["score_negative_sampling"] = with_(*TURN_EXAMPLES, CANDIDATES, """losses AS (
+  SELECT record_id, start, sum(ln(1 + exp(CASE WHEN j = 0 THEN -x ELSE x END))) AS loss FROM logits GROUP BY record_id, start)""") + PER_RECORD
+ORACLES["score_sampled_softmax"] = with_(*TURN_EXAMPLES, CANDIDATES, """losses AS (
+  SELECT record_id, start, ln(sum(exp(x - ln(5 * prob)))) - sum(x - ln(5 * prob)) FILTER (j = 0) AS loss
+  FROM logits GROUP BY record_id, start)""") + PER_RECORD
+ORACLES["score_examples"] = with_(*ENC, GRAM, cbow("enc"), softmax("0.0")) + """
+SELECT round(avg(loss), 6) AS loss FROM (SELECT avg(loss) AS loss FROM losses GROUP BY record_id // 64)"""
 ORACLES["analogy"] = """
 WITH v AS (SELECT vec_id::INT AS id, embedding::DOUBLE[] AS v FROM embeddings),
 q AS (SELECT list_transform(list_zip((SELECT v FROM v WHERE id = 1), (SELECT v FROM v WHERE id = 2), (SELECT v FROM v WHERE id = 3)),
         lambda z: z[1] - z[2] + z[3]) AS q)
 SELECT id, round(list_cosine_similarity(v, q), 6) AS similarity FROM v, q WHERE id NOT IN (1, 2, 3)
 ORDER BY list_cosine_similarity(v, q) DESC, id LIMIT 10"""
-ORACLES["subword_counts"] = f"""
-SELECT word, count(*) AS cnt FROM (
-  SELECT unnest(flatten(list_transform(string_split({norm('text')}, ' '), lambda w: regexp_extract_all(w, '.{{1,4}}')))) AS word
-  FROM documents) GROUP BY word"""
+ORACLES["discriminant_axes"] = "WITH " + COMPONENTS + """, labelled AS (SELECT * FROM x WHERE label IS NOT NULL),
+per AS (SELECT label, pos, count(*) AS n, avg(x) AS m, sum(x * x) - sum(x) * sum(x) / count(*) AS w FROM labelled GROUP BY label, pos),
+mean AS (SELECT pos, avg(x) AS m FROM labelled GROUP BY pos)
+SELECT axis::INT AS axis, TRUE AS holds, (SELECT count(DISTINCT id) FROM labelled) AS n,
+  (SELECT round(sum(p.n * (p.m - a.m) ** 2), 6) FROM per p JOIN mean a USING (pos)) AS between, (SELECT round(sum(w), 6) FROM per) AS within
+FROM range(1, (SELECT least(count(DISTINCT label) - 1, count(DISTINCT pos)) FROM labelled) + 1) r(axis)"""
+ORACLES["principal_equations"] = "SELECT axis::INT AS axis, TRUE AS holds FROM range(1, 3) r(axis)"
+
+
+def merged_pieces(merges: int) -> list[str]:
+    """Words as texts of symbols, each its number between two control characters, after so many merges one by one."""
+    tables = ["""letters AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY c) - 1 AS id, c AS piece FROM (
+    SELECT DISTINCT unnest(string_split('\u2581' || word, '')) AS c FROM counts)),
+symbols0 AS MATERIALIZED (SELECT id, piece FROM letters),
+words0 AS MATERIALIZED (
+  SELECT word, cnt, string_agg(chr(1) || id || chr(2), '' ORDER BY pos) AS t FROM (
+    SELECT word, cnt, unnest(string_split('\u2581' || word, '')) AS c, generate_subscripts(string_split('\u2581' || word, ''), 1) AS pos FROM counts) w
+  JOIN letters ON w.c = letters.piece GROUP BY word, cnt)"""]
+    for i in range(merges):
+        tables.append(f"""top{i + 1} AS MATERIALIZED (
+  SELECT l, r FROM (
+    SELECT s[k]::BIGINT AS l, s[k + 1]::BIGINT AS r, cnt FROM (
+      SELECT cnt, s, unnest(range(1, len(s))) AS k FROM (SELECT cnt, string_split(replace(t[2:-2], chr(2) || chr(1), ' '), ' ') AS s FROM words{i})))
+  GROUP BY l, r HAVING sum(cnt) >= 2 ORDER BY sum(cnt) DESC, greatest(l, r), l, r LIMIT 1),
+symbols{i + 1} AS MATERIALIZED (
+  SELECT * FROM symbols{i} UNION ALL
+  SELECT (SELECT count(*) FROM symbols{i}), a.piece || b.piece FROM top{i + 1} JOIN symbols{i} a ON a.id = l JOIN symbols{i} b ON b.id = r),
+words{i + 1} AS MATERIALIZED (
+  SELECT word, cnt, coalesce(replace(t, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || (SELECT count(*) FROM symbols{i}) || chr(2)), t) AS t
+  FROM words{i} LEFT JOIN top{i + 1} ON TRUE)""")
+    return tables
+
+
+ORACLES["subword_counts"] = with_(*COUNTS, *merged_pieces(48)) + """
+SELECT piece AS word, sum(cnt)::BIGINT AS cnt FROM (
+  SELECT unnest(string_split(replace(t[2:-2], chr(2) || chr(1), ' '), ' '))::BIGINT AS id, cnt FROM words48) JOIN symbols48 USING (id) GROUP BY piece"""
 
 # -- streams ---------------------------------------------------------------------------
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.functions.text import parse_sentences
+from wordloom.operators.joins import attach
+from wordloom.operators.ranking import row_numbers
 from wordloom.operators.reshape import map_records, select_key
 from wordloom.schemas import N_SHARDS
-from wordloom.session import spread
+from wordloom.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -21,7 +23,7 @@ class Corpus:
     """Where a corpus lies below a data root, and how to read it.
 
     ``where`` selects rows of a table that holds several corpora; the scan gets it as a
-    pushed filter. Without ``record_id`` rows are numbered by split and place in the split.
+    pushed filter. Without ``record_id`` rows are named by their content.
     """
 
     path: str
@@ -47,10 +49,15 @@ MANAGED = {
 
 
 def read_corpus(
-    spark: SparkSession, root: str, corpus: Corpus | str, split: str | None = None, key: str | None = None
-) -> DataFrame:
+    spark: SparkSession, root: str, corpus: Corpus | str, split: str | None = None, key: str | None = None,
+    ids: str = "content",
+) -> DataFrame:
     """``(record_id, text)`` of one corpus. Files carry the text column, and the id column
-    if one is named; nothing else is read and nothing is inferred."""
+    if one is named; nothing else is read and nothing is inferred.
+
+    Without an id column records are named by their content, see :func:`content_ids`: the same texts get the
+    same ids from another file layout, at the price of a shuffle. ``ids="storage"`` names them by
+    file and row instead, which costs nothing and holds as long as the files do."""
     corpus = MANAGED[corpus] if isinstance(corpus, str) else corpus
     key = key or corpus.key
     path = "/".join(p for p in (root, corpus.prefix, split) if p)
@@ -67,10 +74,36 @@ def read_corpus(
     if corpus.where:
         df = df.filter(corpus.where)
     if corpus.record_id is None:
-        df = df.withColumn("record_id", F.monotonically_increasing_id())
+        if ids not in ("content", "storage"):
+            raise ValueError(f"ids come from content or storage, not {ids}")
+        df = storage_ids(df) if ids == "storage" else content_ids(df, key)
     return select_key(df, key, corpus.record_id or "record_id")
 
 
+def storage_ids(df: DataFrame) -> DataFrame:
+    """Add ``record_id``, 64 bits of a row's file and its place in the file. Formats that tell no place of a row have content ids only."""
+    return df.withColumn("record_id", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+
+
+def content_ids(df: DataFrame, key: str) -> DataFrame:
+    """Add ``record_id``, 64 bits of a row's text and of how many equal texts come before it. Which of equal texts is the first
+    has no meaning, so retries may number them differently: they are numbered by a table that is written first.
+
+    Only the hashes are counted and numbered, a text that is a third of the corpus in pieces.
+    """
+    (hashed, copy) = ("_text_hash", "_copy")
+    rows = df.withColumn(hashed, F.xxhash64(key))
+    again = rows.groupBy(F.col(hashed).alias("_again")).agg(F.count("*").alias("_times")).filter("_times > 1")
+    again = materialize(again, "repeated-texts")
+    if again.isEmpty():
+        return rows.withColumn("record_id", F.xxhash64(hashed, F.lit(0).cast("bigint"))).drop(hashed)
+    rows = materialize(rows.withColumn(copy, F.monotonically_increasing_id()), "hashed-texts")
+    marked = attach(rows.select(hashed, copy), again, hashed, "_again").filter("_times IS NOT NULL").select(hashed, copy)
+    numbers = row_numbers(materialize(marked, "copies"), [hashed], copy, "_no").select(F.col(copy).alias("_of"), "_no")
+    found = rows.join(numbers, F.col(copy) == F.col("_of"), "left")
+    return found.withColumn("record_id", F.xxhash64(hashed, F.coalesce("_no", F.lit(0)).cast("bigint"))).drop(hashed, copy, "_of", "_no")
+
+
 def apply_steps(df: DataFrame, steps: Sequence[Callable]) -> DataFrame:
     """Run a chain of steps over the text column.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +15,8 @@ from wordloom.operators.vocabulary import merge_counts, tokenize_corpus, word_co
 from wordloom.schemas import COUNTS
 from wordloom.sources.corpora import apply_steps
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(
     spark: SparkSession, folder: str, schema: T.StructType, key: str, record_id: str, glob: str = "*.parquet"
@@ -29,19 +32,57 @@ def clean_stream(stream: DataFrame, steps: Sequence[Callable]) -> DataFrame:
 
 
 def encode_stream(stream: DataFrame, encoder: Encoder) -> DataFrame:
-    """Encode arriving documents against a fixed vocabulary, batch by batch, without state."""
-    return encoder.encode(stream, way="arrow")
+    """Encode arriving documents against a fixed vocabulary of any size, batch by batch, without state. The
+    vocabulary travels in blocks, so a large one needs no other way."""
+    return encoder.encode(stream)
 
 
 def running_counts(stream: DataFrame) -> DataFrame:
     """Counts of all words so far, as a stateful aggregation in update or complete mode.
 
-    The state holds every distinct word; put it on disk by the RocksDB state store. Where
+    The state holds every distinct word; :func:`use_disk_state` puts it on disk. Where
     the lexicon grows without end use :func:`collect_counts`, which keeps no state.
     """
     return word_counts(tokenize_corpus(stream))
 
 
+def use_disk_state(spark: SparkSession) -> None:
+    """Keep the state of queries that start from now on in RocksDB, with changelogs: memory does not grow with the state, and
+    a micro-batch uploads what it changed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def keep_running_counts(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the running counts of the words that each micro-batch changes to a folder of its own below ``path``.
+
+    The counts themselves are state below ``checkpoint``, from which a stopped query goes on. A batch that
+    runs again overwrites its folder with the same rows.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    writer = running_counts(stream).writeStream.outputMode("update").foreachBatch(store)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def running_total(spark: SparkSession, path: str) -> DataFrame:
+    """``(word, cnt)`` after the last batch: counts only grow, so the greatest of a word is its last."""
+    return spark.read.schema(COUNTS).parquet(path).groupBy("word").agg(F.max("cnt").alias("cnt"))
+
+
+def compact_running(spark: SparkSession, path: str, out: str, upto: int) -> int:
+    """Fold the folders of the batches up to ``upto`` into one at a new place, and copy the later ones there as they are,
+    so that ``out`` reads like ``path``. Returns the number of folders that were folded."""
+    batches = spark.read.schema("word string, cnt bigint, batch_id bigint").parquet(path)
+    old = batches.filter(F.col("batch_id") <= upto)
+    n = old.select("batch_id").distinct().count()
+    old.groupBy("word").agg(F.max("cnt").alias("cnt")).write.mode("errorifexists").parquet(f"{out}/batch_id={upto}")
+    batches.filter(F.col("batch_id") > upto).write.mode("append").partitionBy("batch_id").parquet(out)
+    return n
+
+
 def collect_counts(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write the word counts of each micro-batch as a table of its own below ``path``.
 
