@@ -46,6 +46,16 @@ def as_characters(data: bytes) -> str:
     return data.decode("latin-1").translate({b: FIRST_CHARACTER + b for b in range(256)})
 
 
+# of each byte, its character in UTF-8; no byte of a text in UTF-8 is 255
+CHARACTERS = np.frombuffer("".join(chr(FIRST_CHARACTER + b) for b in range(256)).encode(), np.uint8).reshape(256, 2)
+
+
+def all_characters(data: list[bytes]) -> list[str]:
+    """``as_characters`` of many texts in UTF-8 at once."""
+    joined = CHARACTERS[np.frombuffer(b"\xff".join(data), np.uint8)].tobytes().decode()
+    return joined.split(chr(FIRST_CHARACTER + 255))
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -75,37 +85,52 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Tokenizer:
-    """Encodes the cuts of a text; lives in a worker."""
+    """Encodes the cuts of texts; lives in a worker. The ids of every cut that it remembers lie in one array."""
 
     def __init__(self, ranks: dict[bytes, int], model: bytes, pattern: str):
         self.ranks = ranks
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.by_place = [rank for _, rank in sorted(ranks.items(), key=lambda item: item[1])]
+        self.by_place = np.array([-1, *sorted(ranks.values())], np.int32)  # of the model's ids
         self.cut = regex.compile(pattern).findall
-        self.characters = {b: FIRST_CHARACTER + b for b in range(256)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # cut to its place in ``ends``
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
 
     def learn(self, cuts: list[str]) -> None:
         """Encode cuts that were not seen yet."""
-        long = []
-        for cut in cuts:
-            data = cut.encode()
-            if data in self.ranks:  # a token as a whole, also where no merge reaches it
-                self.known[cut] = (self.ranks[data],)
-            else:
-                long.append((cut, data.decode("latin-1").translate(self.characters)))
-        for (cut, _), ids in zip(long, self.model.encode([c for _, c in long], out_type=int) if long else []):
-            self.known[cut] = tuple(self.by_place[i - 1] for i in ids)
-
-    def encode(self, text: str) -> list[int]:
-        cuts = self.cut(text)
-        new = {cut for cut in set(cuts) if cut not in self.known}
+        data = [cut.encode() for cut in cuts]
+        whole = [self.ranks.get(d) for d in data]  # a token as a whole, also where no merge reaches it
+        long = [d for d, rank in zip(data, whole) if rank is None]
+        found = iter(self.model.encode(all_characters(long), out_type=int) if long else [])
+        ids, ends = [], []
+        n = len(self.ids)
+        for rank in whole:
+            part = (rank,) if rank is not None else self.by_place[next(found)]
+            ids.append(part)
+            n += len(part)
+            ends.append(n)
+        self.known.update(zip(cuts, range(len(self.ends), len(self.ends) + len(cuts))))
+        self.ids = np.concatenate([self.ids, *ids]).astype(np.int32)
+        self.ends = np.concatenate([self.ends, ends])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and end."""
+        cuts = [self.cut(text) for text in texts]
+        flat = list(chain.from_iterable(cuts))
+        new = set(flat).difference(self.known)
+        if len(self.known) + len(new) > CACHED:
+            self.forget()
+            new = set(flat)
         if new:
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
-                new = set(cuts)
             self.learn(list(new))
-        return list(chain.from_iterable(map(self.known.__getitem__, cuts)))
+        place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        start, sizes = self.ends[place - 1], self.ends[place] - self.ends[place - 1]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(start - upto[:-1], sizes) + np.arange(upto[-1])]
+        return ids, upto[np.concatenate([[0], np.cumsum([len(c) for c in cuts])]).astype(np.int64)]
 
 
 def _append(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -129,12 +154,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(*shipped.value, pattern)
         for batch in batches:
-            offsets, parts = [0], []
-            for value in batch.column(place):
-                parts.append(np.array(tokenizer.encode(value.as_py() or ""), np.int32))
-                offsets.append(offsets[-1] + len(parts[-1]))
-            flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-            yield _append(batch, ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat))
+            found, offsets = tokenizer.encode([value.as_py() or "" for value in batch.column(place)])
+            yield _append(batch, ids, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found)))
 
     return df.mapInArrow(run, _with(df, ids, T.ArrayType(T.IntegerType())))
 
