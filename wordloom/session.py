@@ -56,7 +56,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     so a lost executor costs one task, not the whole lineage."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.materialized_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`materialize`. Only when all that was made of them is
+    written itself: a lost executor's share is computed anew from its inputs."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.materialized_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str, at_least: int = 0) -> DataFrame:
