@@ -48,9 +48,9 @@ def fill(sizes: list[int], weights: list[float], most: int) -> list[float]:
     return targets
 
 
-def _thresholds(rows: DataFrame, rest: dict[str, float]) -> dict[str, int]:
-    """For each source the last hash that it takes. ``rows``: skey, hash, size."""
-    out: dict[str, int] = {}
+def _thresholds(rows: DataFrame, rest: dict[str, float]) -> dict[str, tuple[int, float, int]]:
+    """For each source the last hash that it takes, how many words of that hash, and how many there are. ``rows``: skey, hash, size."""
+    out: dict[str, tuple[int, float, int]] = {}
     state = {k: (0, 0.0) for k in rest}  # prefix, tokens below it
     for level, shift in enumerate(SHIFTS):
         if not state:
@@ -70,13 +70,16 @@ def _thresholds(rows: DataFrame, rest: dict[str, float]) -> dict[str, int]:
             x = r.x
             if x.lo != x.hi:
                 state[r.skey] = (x.bucket, float(x.upto - x.size))
-            else:  # one hash: take it if that comes nearer
-                out[r.skey] = x.hi if x.upto - x.rest <= x.rest - (x.upto - x.size) else x.hi - 1
+            else:
+                out[r.skey] = (x.hi, x.rest - (x.upto - x.size), int(x.size))
     return out
 
 
 def mix(docs: DataFrame, keep: list[str], weights=None, source: str = "source", text: str = "text", seed: int = 0, most: int = 3, identity: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with size, source_size, target, taken (words) and times of every row.
+    """``keep`` columns with size, source_size, target, taken and times of every row.
+
+    ``taken`` are words: the row at the threshold gives only those that its source still needs, so that a source of few and long
+    texts meets its target too. ``times`` are whole texts, for those who take no parts.
 
     ``weights`` maps the ordered source names (null as None) to numbers; by default 1, 2, 3, repeating.
     """
@@ -97,13 +100,18 @@ def mix(docs: DataFrame, keep: list[str], weights=None, source: str = "source",
     cut = _thresholds(rows.select("skey", "hash", "size"), rest)
     table = local_table(
         docs.sparkSession,
-        [(r.skey, s, t, w, cut.get(r.skey)) for r, s, t, w in zip(found, sizes, targets, whole)],
-        "s string, source_size bigint, target double, whole int, cut bigint",
+        [(r.skey, s, t, w, *cut.get(r.skey, (None, None, None))) for r, s, t, w in zip(found, sizes, targets, whole)],
+        "s string, source_size bigint, target double, whole int, cut bigint, need double, cut_size bigint",
     )
     joined = lookup(rows, table.limit(max(len(found), 1)), "skey", "s", max(len(found), 1))
-    times = F.col("whole") + F.coalesce(F.col("hash") <= F.col("cut"), F.lit(False)).cast("int")
+    # rows at the last hash share what is still needed; as whole rows they are taken if that comes nearer
+    at_cut = F.col("hash") == F.col("cut")
+    share = F.when(F.col("hash") < F.col("cut"), 1.0).when(at_cut & (F.col("cut_size") > 0), F.col("need") / F.col("cut_size"))
+    share = F.coalesce(share, F.lit(0.0))
+    times = F.col("whole") + (share >= 0.5).cast("int")
+    words_taken = F.col("size") * F.col("whole") + F.least(F.round(F.col("size") * share).cast("bigint"), F.col("size"))
     size, ssize, target, taken, n = free_name(docs.select(*keep), "size", "source_size", "target", "taken", "times")
     return joined.select(
         *[F.col("kept")[c].alias(c) for c in keep], F.col("size").alias(size), F.col("source_size").alias(ssize),
-        F.col("target").alias(target), (F.col("size") * times).alias(taken), times.alias(n),
+        F.col("target").alias(target), words_taken.alias(taken), times.alias(n),
     )
