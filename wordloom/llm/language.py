@@ -1,14 +1,14 @@
 """Language identification by filters of n-grams whose cells are masks of languages.
 
-Training counts, per language, the documents that hold each n-gram. An n-gram belongs to the
-languages where it is common enough next to the others, and sets their bits in the cells that its
+Training counts, per language, the documents that hold each n-gram. An n-gram belongs to all
+languages where it is about as common as where it is most common, however many they are, and sets their bits in the cells that its
 hashes name. One look at those cells gives all languages that may contain an n-gram. For a text
 the set bits are counted per language, corrected for the rate at which a language's bits are set
 by chance, and the language with the most wins. A text of one letter has no n-gram and is judged by
 the letter, whose languages training counts in the same way.
 
 Training reads at most about ``per_language`` documents of each language, drawn by hash; the
-filter has at most 2**MAX_BITS cells, whatever the corpus. Predictions use the whole text.
+filter has eight cells for each distinct n-gram of that sample, at most 2**MAX_BITS; if these fill up, training stops with an error. Predictions use the whole text.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; with no labelled
 text every prediction is ``und``; ties go to the first language by code point; rows without a
@@ -18,6 +18,8 @@ language or without text teach nothing.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,16 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import BASE, bounded_batches, splitmix
+from wordloom.llm.common import BASE, bounded_batches, free_name, splitmix
 
 GRAM = 4
 HASHES = 3
-MAX_BITS = 22
+MAX_BITS = 24
+MAX_FILL = 0.5  # of the cells, above which a language's chance hits would outweigh its own
 PER_LANGUAGE = 10_000
-SHARE = 0.2  # of an n-gram's rates over all languages, what one needs
+SHARE = 0.3  # of an n-gram's greatest rate in any language, what another needs to contain it too
 PIECE = 1 << 20  # code points whose n-grams exist at one time
 MASK = 62  # languages per word of a cell
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# numerals that are no decimal digits count as word characters, but are no letters
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
 UNKNOWN = "und"
 
 
@@ -125,9 +130,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     taken = {k: max(1.0, min(sizes[k], per_language)) for k in languages}
     per = F.create_map(*[x for k in languages for x in (F.lit(numbers[k]), F.lit(float(taken[k])))])
     rates = counts.withColumn("rate", F.col("n") / per[F.col("l")])
-    total = counts.groupBy("gram").agg(F.sum(F.col("n") / per[F.col("l")]).alias("all"))
-    kept = rates.join(total, "gram").filter(F.col("rate") >= SHARE * F.col("all")).select("gram", "l")
-    distinct = total.count()
+    most = rates.groupBy("gram").agg(F.max("rate").alias("most"))
+    kept = rates.join(most, "gram").filter(F.col("rate") >= SHARE * F.col("most")).select("gram", "l")
+    distinct = most.count()
     bits = min(MAX_BITS, max(10, (8 * max(distinct, 1)).bit_length()))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +145,16 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     filled = kept.mapInArrow(cells, "cell bigint, word int, mask bigint").groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
     table = np.zeros((1 << bits, (len(languages) - 1) // MASK + 1), np.uint64)
     table[filled["cell"], filled["word"]] = filled["mask"].to_numpy().astype(np.uint64)
-    return Model(languages, table)
+    model = Model(languages, table)
+    if max(model.chance) > MAX_FILL**HASHES:
+        raise ValueError("the filter is too full to tell languages apart; lower per_language")
+    return model
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Add the predicted language and its share of the text's n-grams. The model is broadcast; it has a bounded size."""
+    """Add the predicted language and its share of the text's n-grams, under ``names`` as far as they are free.
+    The model is broadcast; it has a bounded size."""
+    names = tuple(free_name(df, *names))
     spark = df.sparkSession
     bounded_batches(spark)
     shipped = spark.sparkContext.broadcast((model.languages, model.table))
@@ -155,9 +165,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, s
         for texts in parts:
             yield pd.DataFrame([held.predict(t) for t in texts], columns=["lang", "score"])
 
-    found = "_guess"
-    while found in df.columns:
-        found = "_" + found
+    (found,) = free_name(df, "_guess")
     out = df.withColumn(found, guess(F.col(text)))
     return out.withColumn(names[0], F.col(found)["lang"]).withColumn(names[1], F.col(found)["score"]).drop(found)
 
