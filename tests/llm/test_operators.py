@@ -1,6 +1,7 @@
 """The operators of the subpackage beside brute force on small tables that hold the odd cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -101,12 +102,20 @@ def test_mix(spark, docs, nothing):
     for source, target in targets.items():
         part = [r for r in got if r.source == source]
         assert target <= 3 * part[0].source_size + 1e-9
-        assert abs(sum(r.taken for r in part) - target) <= max(r["_size"] for r in part)
+        assert abs(sum(r.taken for r in part) - target) <= 1 + len(part) / 2  # words of the rows at the threshold are rounded
+        assert all(0 <= r.taken - r["_size"] * (r.taken // max(r["_size"], 1)) <= r["_size"] for r in part)
     again = mixing.mix(docs.repartition(5), ["doc_id", "source", "size"]).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mixing.mix(nothing, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_mix_meets_its_targets(spark, scale):
+    got = mixing.mix(spark.read.parquet(f"/root/testdata/{scale}/documents.parquet"), ["source"])
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 0.02 * r.target, r
+
+
 def test_thresholds_nest(spark):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 3 > 0, "x").alias("source"))
     taken = {}
@@ -189,13 +198,11 @@ def test_language(spark, docs, nothing):
 # -- repeats ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("length", [100, 21])
-def test_repeats(docs, length, monkeypatch):
-    monkeypatch.setattr(repeats, "PIECE", 700)
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(docs, length).collect())
+def cut_plainly(table, length):
+    """Rows of the digest, counted, by a set of all strings so far."""
     seen, want = set(), Counter()
-    for row in sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0)):
-        data = (row[1] or "").encode()
+    for doc_id, text in table:
+        data = (text or "").encode()
         gone = np.zeros(len(data) + 1, int)
         for i in range(len(data) - length + 1):
             s = data[i : i + length]
@@ -204,7 +211,34 @@ def test_repeats(docs, length, monkeypatch):
             seen.add(s)
         kept = bytes(b for b, g in zip(data, gone) if not g)
         spans = int((np.diff(np.concatenate([[0], gone])) == 1).sum())
-        want[(row[0], len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
+        want[(doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
+    return want
+
+
+@pytest.mark.parametrize("block, partitions, length", [(4096, "37", 60), (2, "3", 60), (1, "23", 100)])
+def test_repeats_in_few_and_many_tasks(spark, block, partitions, length, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    draw = random.Random(block)
+    parts = ["".join(draw.choices("abcdefgh ", k=draw.randint(20, 160))) for _ in range(25)] + ["ab" * 90, "z" * 150]
+    table = [(i, "".join(draw.choices(parts, k=draw.randint(0, 6)))) for i in range(90)]
+    table += [(100 + i, table[i % 7][1]) for i in range(20)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(docs, length).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == cut_plainly(table, length)
+
+
+@pytest.mark.parametrize("length", [100, 21])
+def test_repeats(docs, length, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(docs, length).collect())
+    want = cut_plainly([r[:2] for r in sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0))], length)
     assert got == want
 
 
@@ -214,6 +248,14 @@ def test_repeats_keep_columns(docs, nothing):
     assert repeats.digest(nothing).count() == 0 and repeats.cut_documents(nothing).count() == 0
 
 
+def test_numerals_are_no_letters(spark):
+    taught = spark.createDataFrame([("the old mill by the river", "en"), ("die alte Mühle am Fluss", "de")] * 3, "text string, lang string")
+    asked = spark.createDataFrame([(t,) for t in ("²", "½ ①", "Ⅷ 12_", "", None, "ⅷ?", "a²", "京")], "text string").withColumn("score", F.lit("mine"))
+    got = {r.text: r for r in language.predict(asked, language.train(taught)).collect()}
+    assert {t for t, r in got.items() if r.lang_pred == "und"} == {"²", "½ ①", "Ⅷ 12_", "", None, "ⅷ?"}
+    assert all(r.score == "mine" and 0 <= r["_score"] <= 1 for r in got.values())
+
+
 # -- preferences -----------------------------------------------------------------------
 
 
@@ -227,6 +269,50 @@ def test_preferences(spark):
     assert preferences.neighbours(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def render(turns):
+    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+
+
+def spans(turns):
+    """Where the assistant's texts lie in what ``render`` makes, told by looking for them."""
+    out, at = [], 0
+    for role, text in turns:
+        begin = at + len(f"<|{role}|>\n")
+        if role == "assistant":
+            out.append(f"{begin}-{begin + len(text)}")
+        at += len(render([(role, text)]))
+    return ",".join(out)
+
+
+def test_answers_of_another_conversation_are_rejected(spark):
+    draw = random.Random(8)
+    rows = [
+        (c, t if draw.random() < 0.9 else None, draw.choice(["user", "assistant", "assistant", None]), draw.choice(["yes", "né", "", None, "x" * 300_000]) if c == 4 else draw.choice(["a", "b", None]))
+        for c in (0, 1, 2, 3, 4, 5, 7, 9, 12) for t in range(draw.randint(1, 7))
+    ]
+    rows += [(20, 0, "user", "no answer"), (21, 0, "assistant", "alone"), (None, 0, "assistant", "nobody"), (30, 0, "assistant", "same"), (31, 0, "assistant", "same")]
+    whole = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            whole[c].append((t is not None, t or 0, role or "", text or ""))
+    answered = {}
+    for c, turns in whole.items():
+        turns = [x[2:] for x in sorted(turns)]
+        last = max((i for i, (role, _) in enumerate(turns) if role == "assistant"), default=None)
+        if last is not None:
+            answered[c] = turns[: last + 1]
+    want = {}
+    for c, a in answered.items():
+        other = c ^ 1 if c ^ 1 in answered else None
+        b = a[:-1] + (answered[other][-1:] if other is not None else [])
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want[c] = (other, n, render(a[:n]), render(a[n:]), render(b[n:]), spans(a[n:]), spans(b[n:]))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(1)).repartition(3)
+    got = {r.conv_id: tuple(r)[1:] for r in preferences.answer_pairs(df).collect()}
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 3
+    assert preferences.answer_pairs(df.limit(0)).count() == 0
+
+
 # -- byte-level BPE --------------------------------------------------------------------
 
 

@@ -26,6 +26,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import free_name
+
 # fixed values: usual one-line notices
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -133,7 +135,9 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = No
     found = _lines(rows, chosen, threshold)
     if any(len(_template_words(v)) > 1 for _, v in texts):
         found = found.unionByName(_passages(rows, texts, chosen, threshold))
-    return found.select(*[F.col("kept")[c].alias(c) for c in keep], "licence", "score", "line", "n_lines")
+    own = ("licence", "score", "line", "n_lines")
+    names = free_name(docs.select(*keep), *own)
+    return found.select(*[F.col("kept")[c].alias(c) for c in keep], *[F.col(c).alias(n) for c, n in zip(own, names)])
 
 
 def _lines(rows: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:

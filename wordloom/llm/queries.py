@@ -43,7 +43,7 @@ def op6_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_preferences(spark: SparkSession, sf: str) -> DataFrame:
-    return preferences.neighbours(_table(spark, sf, "conversations"))
+    return preferences.answer_pairs(_table(spark, sf, "conversations"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:

@@ -80,4 +80,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measures
 """
 
-ORACLES = {"op11_turn_trie": TURN_TRIE, "op12_host_rules": HOST_RULES}
+TOP_K = """
+WITH x AS (
+    SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM x q JOIN x c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
+def _spans(turns: str) -> str:
+    """Code point ranges of the assistant's texts in a rendered list of turns."""
+    before = f"coalesce(list_sum(list_transform({turns}[1:i - 1], lambda u: 14 + length(u.r) + length(u.t))), 0)::BIGINT + 5 + length({turns}[i].r)"
+    return (
+        f"array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].r = 'assistant'), "
+        f"lambda i: ({before}) || '-' || ({before} + length({turns}[i].t))), ',')"
+    )
+
+
+def _rendered(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda u: '<|' || u.r || '|>' || chr(10) || u.t || chr(10) || '<|end|>' || chr(10)), '')"
+
+
+PREFERENCES = f"""
+WITH own AS (
+    SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+answered AS (
+    SELECT conv_id, l[1:n] AS a, l[n] AS answer FROM (
+        SELECT *, list_max(list_filter(range(1, len(l) + 1), lambda i: l[i].r = 'assistant')) AS n FROM own) WHERE n IS NOT NULL),
+pairs AS (
+    SELECT c.conv_id, o.conv_id AS other_id, c.a, list_concat(c.a[1:len(c.a) - 1], CASE WHEN o.conv_id IS NULL THEN [] ELSE [o.answer] END) AS b
+    FROM answered c LEFT JOIN answered o ON o.conv_id = xor(c.conv_id, 1)),
+common AS (
+    SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS n FROM pairs),
+rest AS (SELECT *, a[1:n] AS p, a[n + 1:] AS x, b[n + 1:] AS y FROM common)
+SELECT conv_id, other_id, n::BIGINT AS n_common, {_rendered("p")} AS prompt, {_rendered("x")} AS chosen, {_rendered("y")} AS rejected,
+    {_spans("x")} AS chosen_mask, {_spans("y")} AS rejected_mask
+FROM rest
+"""
+
+ORACLES = {"op3_top_k": TOP_K, "op7_preferences": PREFERENCES, "op11_turn_trie": TURN_TRIE, "op12_host_rules": HOST_RULES}
