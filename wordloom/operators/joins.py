@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
 ROW_BYTES = 64  # generous size of a lookup row: a word, an id, a weight
 HOT_KEYS = 1000
 
@@ -19,20 +18,22 @@ def broadcast_fits(df: DataFrame, rows: int, row_bytes: int = ROW_BYTES) -> bool
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, rows: int, how: str = "left") -> DataFrame:
-    """Join ``df`` with a table of unique keys and at most ``rows`` rows.
+    """Join ``df`` with a table of unique keys and at most ``rows`` rows; ``how`` is left, inner, left_semi or left_anti.
 
     The planner sees the limit behind such a table and broadcasts it while the bound is
-    below its threshold. Beyond, both sides shuffle, and a word that is a third of all rows
-    would end in one task. So the table is copied under a number of salts and each row of
-    ``df`` picks one: the hot word spreads over as many tasks, the result is the same.
+    below its threshold. Beyond, :func:`attach` finds the frequent keys, which do not depend on what else is
+    in a row: a word that is a third of all rows, and nothing but that word in them, meets a broadcast row.
     """
     on = F.col(key) == F.col(table_key)
     if broadcast_fits(df, rows):
         return df.join(table, on, how) if how != "left" else df.join(table, on, how).drop(table_key)
-    left = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = left.join(right, on & (F.col("_part") == F.col("_salt")), how)
-    return found.drop("_part", "_salt", table_key) if how == "left" else found.drop("_part")
+    found = attach(df, table.withColumn("_found", F.lit(True)), key, table_key)
+    if how == "left":
+        return found.drop("_found")
+    if how == "inner":
+        return found.filter("_found").drop("_found")
+    wanted = F.col("_found") if how == "left_semi" else F.col("_found").isNull()
+    return found.filter(wanted).select(*df.columns)
 
 
 def attach(df: DataFrame, table: DataFrame, key: str, table_key: str) -> DataFrame:
@@ -41,12 +42,14 @@ def attach(df: DataFrame, table: DataFrame, key: str, table_key: str) -> DataFra
     Keys that make up more than one in a thousand rows of ``df`` are fewer than a thousand.
     Their few table rows are broadcast; all other rows take the ordinary join.
     """
-    total = df.agg(F.count("*")).scalar()
-    hot = df.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") * HOT_KEYS > total)
-    hot = hot.limit(HOT_KEYS).select("_hot")
+    counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.filter(F.col("_hot").isNotNull() & (F.col("_n") * HOT_KEYS > total)).limit(HOT_KEYS).select("_hot")
     hot_rows = table.join(F.broadcast(hot), F.col(table_key) == F.col("_hot"), "left_semi")
-    common = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi")
-    other = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_anti")
+    marked = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    # a null key matches nothing; with the hot ones these rows stay where they are
+    stays = F.col("_hot").isNotNull() | F.col(key).isNull()
+    common, other = marked.filter(stays).drop("_hot"), marked.filter(~stays).drop("_hot")
     on = F.col(key) == F.col(table_key)
     return (
         other.join(table, on, "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.operators.blocks import BLOCK_BYTES, Blocks, list_column, list_parts, places, ship, vector_rows
-from wordloom.operators.joins import SALTS, attach
+from wordloom.operators.joins import attach
 from wordloom.schemas import (
     CHECKPOINT_EVERY,
     EMBED_DIMENSION,
@@ -134,7 +134,7 @@ def context_means(
     nothing, and an example without any vector disappears.
 
     The vectors travel in blocks of ids, whatever their number, and examples stay in place. The join
-    way gives the same rows: ids are joined with the vectors under salts, and each example gathers its ``2n`` vectors at most.
+    way gives the same rows: ids are joined with the vectors, and each example gathers its ``2n`` vectors at most.
     """
     table = vectors.select("id", "vector")
     found = examples.select(*keys, "context")
@@ -208,8 +208,8 @@ def look_up_vectors(
     """Add ``vector`` to rows with an id; rows whose id has none keep a null vector, or are dropped
     without ``keep_missing``.
 
-    Vectors that were measured to fit are broadcast. If not, they are copied under salts, so
-    that a frequent id spreads over many tasks.
+    Vectors that were measured to fit are broadcast. If not, those of frequent ids are, and the other
+    rows are joined.
     """
     table = vectors.select(F.col("id").alias("_vid"), "vector")
     on, how = F.col(id) == F.col("_vid"), "left" if keep_missing else "inner"
@@ -217,9 +217,8 @@ def look_up_vectors(
         way = "broadcast" if measured_bytes(table) <= MAX_BROADCAST_BYTES else "join"
     if way == "broadcast":
         return rows.join(F.broadcast(table), on, how).drop("_vid")
-    parted = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return parted.join(copies, on & (F.col("_part") == F.col("_salt")), how).drop("_vid", "_part", "_salt")
+    found = attach(rows, table.withColumn("_found", F.lit(True)), id, "_vid")
+    return (found if keep_missing else found.filter("_found")).drop("_found")
 
 
 def _means_join(examples: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
