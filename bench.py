@@ -45,6 +45,11 @@ HEADLINE = [
     "context_means",
     "analogy",
     "stream_vocabulary",
+    "decode_ids",
+    "score_examples",
+    "subword_counts",
+    "discriminant_axes",
+    "stream_running",
 ]
 
 

@@ -29,6 +29,7 @@ from wordloom.schemas import (
 from wordloom.session import MAX_BROADCAST_BYTES, materialize, measured_bytes
 
 CRITERIA = ("softmax", "negative", "sampled")
+RECORDS_PER_TASK = 1_000_000
 LOGITS = 1 << 22  # logits that exist at one time
 ROWS = 1 << 14  # candidates whose vectors exist at one time
 
@@ -43,14 +44,16 @@ def train_vectors(
     max_sequence_len: int = MAX_SEQUENCE_LENGTH,
     learning_rate: float = LEARNING_RATE,
     epochs: int = 1,
-    partitions: int = 1,
+    partitions: int | None = None,
     seed: int = SEED,
 ) -> Word2VecModel:
-    """Fit word vectors on encoded tokens.
+    """Fit word vectors on encoded tokens, in one task per million records unless ``partitions`` says otherwise.
 
     The trainer keeps one vector per distinct token on the driver. Encoding has replaced
     words outside the vocabulary by the unknown token, so that is at most ``size`` vectors.
     """
+    if partitions is None:
+        partitions = 1 + encoded.count() // RECORDS_PER_TASK
     trainer = Word2Vec(
         inputCol=tokens,
         outputCol="document_vector",

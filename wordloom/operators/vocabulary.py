@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from wordloom.functions.text import parse_words
 from wordloom.operators.joins import attach, lookup
 from wordloom.operators.reshape import drop_rare, infrequent, member_ngrams, unnest
-from wordloom.session import local_table
+from wordloom.session import local_table, materialize
 from wordloom.schemas import COUNTS, UNK_TOKEN, VOCAB_MIN_FREQ, VOCAB_SIZE, VOCABULARY
 
 # Ids of up to this many words are numbered in one task, on rows already cut to the size.
@@ -88,14 +88,19 @@ def most_common(counts: DataFrame, k: int) -> DataFrame:
     if k <= ONE_TASK_WORDS:
         top = kept.orderBy(*order).limit(k)
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
-    return _number_sorted(kept.orderBy(*order)).filter(F.col("rank") < k)
-
-
-def _number_sorted(ordered: DataFrame) -> DataFrame:
-    """Rank of every row of a sorted table, numbered partition by partition."""
-    schema = T.StructType([*ordered.schema.fields, T.StructField("rank", T.IntegerType())])
-    numbered = ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    return ordered.sparkSession.createDataFrame(numbered, schema)
+    return _number_sorted(kept, order).filter(F.col("rank") < k)
+
+
+def _number_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rank of every row in the given order, numbered range by range; the table of ranges has a row per task."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranges")  # the numbers must not change between the two uses
+    task, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit(2**33 - 1))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(task.alias("_task")).agg((F.max(within) + 1).alias("_n"))
+    starts = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = ranged.withColumn("_own", task).join(F.broadcast(starts), F.col("_own") == F.col("_task"))
+    return placed.withColumn("rank", (F.col("_start") + within).cast("int")).select(*df.columns, "rank")
 
 
 class Vocabulary:

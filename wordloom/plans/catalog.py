@@ -743,6 +743,17 @@ def skipgram_pairs(spark, sf):
     )
 
 
+@query
+def skipgram_examples(spark, sf):
+    """Positives and negatives in one labelled result."""
+    vocab = vocabulary(spark, sf)
+    windows = ex.skipgram_windows(ex.thinned_sequences(documents(spark, sf), Encoder(vocab)))
+    drawn = sp.draw_negatives(windows, sp.negative_distribution(vocab))
+    return ex.skipgram_pairs(drawn).groupBy("record_id", "center").agg(
+        F.count("*").alias("n_pairs"), F.sum("target").alias("sum_targets"), F.sum("label").alias("n_positive")
+    )
+
+
 # -- ranks, windows, logs --------------------------------------------------------------
 
 

@@ -514,6 +514,42 @@ SELECT record_id, center, (sum(2 * reach))::BIGINT AS n_pairs, sum(targets)::BIG
     SELECT *, {state('1337:reach', 'record_id')} % 4 + 1 AS reach FROM thin) WHERE len(ids) >= 2 * reach + 1))
 GROUP BY record_id, center"""
 
+# draws: a uniform number over the mass of the words still allowed, moved past the intervals of the others in order
+DRAWN_FROM = """neg AS MATERIALIZED (
+  SELECT id, high, coalesce(lag(high) OVER (ORDER BY id), 0.0) AS low FROM (
+    SELECT id, sum(w) OVER (ORDER BY id) / sum(w) OVER () AS high FROM (SELECT id, cnt::DOUBLE ** 0.75 AS w FROM vocab WHERE NOT is_special)))"""
+
+
+def draws(k: int) -> list[str]:
+    """Tables draw1 to draw``k``: (record_id, start, drawn, taken), each with one more id drawn."""
+    tables = [f"""windowed AS MATERIALIZED (
+  SELECT record_id, start, reach, ids[start + reach + 1] AS center,
+    list_slice(ids, start + 1, start + reach) || list_slice(ids, start + reach + 2, start + 2 * reach + 1) AS context,
+    {state('1337', 'record_id', 'start')} AS state
+  FROM (SELECT record_id, ids, reach, {starts('reach')} AS start FROM (
+    SELECT *, {state('1337:reach', 'record_id')} % 4 + 1 AS reach FROM thin) WHERE len(ids) >= 2 * reach + 1)),
+draw0 AS MATERIALIZED (
+  SELECT a.record_id, a.start, any_value(a.state) AS state, []::INT[] AS drawn,
+    coalesce(list({{'low': n.low, 'w': n.high - n.low}} ORDER BY n.low) FILTER (n.id IS NOT NULL), []) AS taken
+  FROM (SELECT record_id, start, state, unnest(list_distinct(list_append(context, center))) AS id FROM windowed) a LEFT JOIN neg n ON n.id = a.id
+  GROUP BY a.record_id, a.start)"""]
+    for i in range(k):
+        tables.append(f"""point{i + 1} AS (
+  SELECT *, list_reduce(list_prepend({{'low': u * ((SELECT max(high) FROM neg) - coalesce(list_sum(list_transform(taken, lambda x: x.w)), 0.0)), 'w': 0.0}}, taken),
+    lambda p, x: CASE WHEN x.low <= p.low THEN {{'low': p.low + x.w, 'w': 0.0}} ELSE p END).low AS point
+  FROM (SELECT *, {uniform('state', str(i))} AS u FROM draw{i})),
+draw{i + 1} AS MATERIALIZED (
+  SELECT p.record_id, p.start, p.state, list_append(p.drawn, n.id) AS drawn, list_sort(list_append(p.taken, {{'low': n.low, 'w': n.high - n.low}})) AS taken
+  FROM point{i + 1} p ASOF JOIN neg n ON p.point < n.high)""")
+    return tables
+
+
+ORACLES["draw_negatives"] = with_(*THIN, DRAWN_FROM, *draws(5)) + """
+SELECT w.record_id, w.start::INT AS start, w.center, array_to_string(d.drawn, ' ') AS negatives FROM windowed w JOIN draw5 d USING (record_id, start)"""
+ORACLES["skipgram_examples"] = with_(*THIN, DRAWN_FROM, *draws(5)) + """
+SELECT record_id, center, sum(len(context) + len(drawn))::BIGINT AS n_pairs, sum(list_sum(context) + list_sum(drawn))::BIGINT AS sum_targets,
+  sum(len(context))::BIGINT AS n_positive FROM windowed JOIN draw5 USING (record_id, start) GROUP BY record_id, center"""
+
 # -- ranks, windows, logs --------------------------------------------------------------
 
 RANKED = "ranked AS (SELECT word, cnt, (row_number() OVER (ORDER BY cnt DESC, word) - 1)::INT AS rank FROM counts)"
@@ -663,6 +699,21 @@ mean AS (SELECT pos, avg(x) AS m FROM labelled GROUP BY pos)
 SELECT axis::INT AS axis, TRUE AS holds, (SELECT count(DISTINCT id) FROM labelled) AS n,
   (SELECT round(sum(p.n * (p.m - a.m) ** 2), 6) FROM per p JOIN mean a USING (pos)) AS between, (SELECT round(sum(w), 6) FROM per) AS within
 FROM range(1, (SELECT least(count(DISTINCT label) - 1, count(DISTINCT pos)) FROM labelled) + 1) r(axis)"""
+# the first axis by squaring the covariance: its powers come ever nearer to a multiple of axis times axis
+SQUARES = ["cov AS (SELECT a.pos AS i, b.pos AS j, covar_samp(a.x, b.x) AS c FROM x a JOIN x b USING (id) GROUP BY a.pos, b.pos)",
+           "m0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i))"]
+SQUARES += [f"""m{k + 1} AS MATERIALIZED (
+  SELECT list_transform(q, lambda r: list_transform(r, lambda c: c / t)) AS m FROM (
+    SELECT q, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i][i])) AS t FROM (
+      SELECT list_transform(m, lambda r: list_transform(m, lambda c: list_inner_product(r, c))) AS q FROM m{k})))""" for k in range(24)]
+ORACLES["principal_axes"] = with_(COMPONENTS, *SQUARES) + """
+SELECT vec_id::INT AS id, round(abs(list_inner_product(embedding::DOUBLE[], axis)), 4) AS axis1 FROM embeddings, (
+  SELECT list_transform(r, lambda c: c / sqrt(list_inner_product(r, r))) AS axis FROM (SELECT unnest(m) AS r FROM m24)
+  ORDER BY list_inner_product(r, r) DESC LIMIT 1)"""
+KNOWN_IDS = "known_ids AS (SELECT id, word FROM vocab WHERE NOT is_infrequent)"
+ORACLES["train_vectors"] = with_(*VOCAB, KNOWN_IDS) + "SELECT id, word, 16::INT AS dimension FROM known_ids"
+ORACLES["model_checkpoints"] = with_(*VOCAB, KNOWN_IDS) + """
+SELECT saved, (SELECT count(*) FROM known_ids) AS n_vectors FROM (SELECT unnest(['checkpoint_1', 'checkpoint_2', 'model']) AS saved)"""
 ORACLES["principal_equations"] = "SELECT axis::INT AS axis, TRUE AS holds FROM range(1, 3) r(axis)"
 
 

@@ -15,7 +15,7 @@ from wordloom.operators.joins import attach
 from wordloom.operators.ranking import row_numbers
 from wordloom.operators.reshape import map_records, select_key
 from wordloom.schemas import N_SHARDS
-from wordloom.session import materialize, spread
+from wordloom.session import discard, materialize, spread
 
 
 @dataclass(frozen=True)
@@ -139,22 +139,25 @@ def prepare(
     writing job observes on its way; no pass is spent on counting.
 
     The output has the partitions of the input, and at least 32; ``shards`` asks for an exact
-    number of files. Either way rows are spread before the steps, so steps, counts and files
-    are one stage, in which a repeated task counts once. Saved work is not overwritten.
+    number of files. Rows are spread before the steps either way, so steps, counts and files
+    are one stage, in which a repeated task counts once; the exact number of files is dealt out
+    afterwards, from what that stage wrote. Saved work is not overwritten.
     """
     before, after = Observation("before"), Observation("after")
-    wide = corpus.repartition(shards) if shards else spread(corpus, "record_id", at_least=N_SHARDS)
+    wide = spread(corpus, "record_id", at_least=N_SHARDS)
     seen = wide.observe(before, F.count(F.lit(1)).alias("n"))
     done = apply_steps(seen, default_steps() if steps is None else steps)
-    if shards:
-        done = done.coalesce(shards)  # a step over the table may have added partitions
     done = done.observe(after, F.count(F.lit(1)).alias("n"))
+    stored = materialize(done, "cleaned") if shards else None
     try:
-        done.write.mode("errorifexists").parquet(save_dir)
+        (stored.repartition(shards) if shards else done).write.mode("errorifexists").parquet(save_dir)
     except AnalysisException as error:
         if error.getCondition() == "PATH_ALREADY_EXISTS":
             raise FileExistsError(f"{save_dir} holds saved work; read it with load_prepared or delete it") from error
         raise
+    finally:
+        if stored is not None:
+            discard(stored)
     return {"before": before.get["n"], "after": after.get["n"]}
 
 
