@@ -18,8 +18,6 @@ language or without text teach nothing.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,16 +38,14 @@ PER_LANGUAGE = 10_000
 SHARE = 0.3  # of an n-gram's greatest rate in any language, what another needs to contain it too
 PIECE = 1 << 20  # code points whose n-grams exist at one time
 MASK = 62  # languages per word of a cell
-# numerals that are no decimal digits count as word characters, but are no letters
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")  # of numerals that are no decimal digits it leaves some; a text of these alone has no letters
 UNKNOWN = "und"
 
 
 def gram_hashes(text: str) -> Iterator[np.ndarray]:
     """Hashes of all runs of GRAM characters, in pieces; a run of other characters than letters is one space."""
     clean = NOT_LETTERS.sub(" ", f" {text.lower()} ")
-    if clean == " ":
+    if not any(map(str.isalpha, clean)):
         return
     for lo in range(0, max(len(clean) - GRAM + 1, 1), PIECE):
         points = np.frombuffer(clean[lo : lo + PIECE + GRAM - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -61,7 +57,7 @@ def gram_hashes(text: str) -> Iterator[np.ndarray]:
 
 def letter_hashes(text: str) -> np.ndarray:
     """Hashes of the distinct letters: what a text of one letter is judged by, which has no run of GRAM characters."""
-    letters = set(NOT_LETTERS.sub("", text.lower()))
+    letters = {c for c in set(text.lower()) if c.isalpha()}
     points = np.frombuffer("".join(sorted(letters)).encode("utf-32-le", "surrogatepass"), np.uint32)
     return splitmix(points.astype(np.uint64))
 
