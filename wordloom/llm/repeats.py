@@ -430,7 +430,9 @@ def digest(docs: DataFrame, length: int = 100) -> DataFrame:
     rows = docs.select("doc_id", d.alias("d"), k.alias("k"), k2.alias("k2"), n.alias("n"), F.sha2(whole.cast("binary"), 256).alias("sha"))
     rows = materialize(rows.groupBy("doc_id", "d", "k", "k2", "n", "sha").agg(F.count("*").alias("copies")), "text-digests")
     first = rows.groupBy("k", "k2").agg(F.min("d").alias("first"), F.count("*").alias("members")).filter("members > 1")
-    rows = rows.join(first, ["k", "k2"], "left").withColumn("first", F.coalesce("first", "d") == F.col("d"))
+    # a text may have many copies: those of a frequent one stay where they are
+    rows = attach(rows.withColumn("own", F.struct("k", "k2")), first.select(F.struct("k", "k2").alias("of"), "first"), "own", "of")
+    rows = rows.drop("own").withColumn("first", F.coalesce("first", "d") == F.col("d"))
     rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     leads = F.col("first") & (F.col("turn") == 1)
     gone = (F.col("n") >= length) & ~leads
@@ -457,7 +459,7 @@ def cut_documents(docs: DataFrame, length: int = 100) -> DataFrame:
     def valid(parts: pd.Series) -> pd.Series:
         return pd.Series([None if p is None else p.decode(errors="ignore") for p in parts], dtype=object)
 
-    rows = keyed.join(first.withColumnsRenamed({"k": "fk", "k2": "fk2"}), (F.col("k") == F.col("fk")) & (F.col("k2") == F.col("fk2")), "left")
+    rows = attach(keyed.withColumn("own", F.struct("k", "k2")), first.select(F.struct("k", "k2").alias("of"), "first"), "own", "of")
     rows = rows.join(cut, (F.col("d") == F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("k2") == F.col("_k2")), "left")
     copy = F.col("long") & (F.col("d") > F.col("first"))
     text = F.when(copy, F.lit("")).otherwise(F.coalesce(valid("kept"), F.col("row")["text"]))
