@@ -46,7 +46,7 @@ HEADLINE = [
     "analogy",
     "stream_vocabulary",
     "decode_ids",
-    "score_examples",
+    "score_softmax",
     "subword_counts",
     "discriminant_axes",
     "stream_running",
