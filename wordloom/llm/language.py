@@ -85,7 +85,8 @@ class Model:
 
     @staticmethod
     def _bit(masks: np.ndarray, language: int) -> np.ndarray:
-        return (masks[:, language // MASK] >> np.uint64(language % MASK)) & np.uint64(1)
+        word = masks.dtype.type
+        return (masks[:, language // MASK] >> word(language % MASK)) & word(1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts, total = np.zeros(len(self.languages)), 0
@@ -139,8 +140,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", per_language: i
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(word.astype(np.int32)), pa.array(mask)], names=["cell", "word", "mask"])
 
     filled = kept.mapInArrow(cells, "cell bigint, word int, mask bigint").groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros((1 << bits, (len(languages) - 1) // MASK + 1), np.uint64)
-    table[filled["cell"], filled["word"]] = filled["mask"].to_numpy().astype(np.uint64)
+    # a cell has as many bits as there are languages, rounded up to a word
+    width = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
+    table = np.zeros((1 << bits, (len(languages) - 1) // MASK + 1), width)
+    table[filled["cell"], filled["word"]] = filled["mask"].to_numpy().astype(width)
     model = Model(languages, table)
     if max(model.chance) > MAX_FILL**HASHES:
         raise ValueError("the filter is too full to tell languages apart; lower per_language")
