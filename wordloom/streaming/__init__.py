@@ -26,6 +26,14 @@ def read_stream(
     return select_key(reader.parquet(folder), key, record_id)
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType, key: str, record_id: str) -> DataFrame:
+    """Documents of a Parquet table as they arrive: a folder of files, or one file, whose folder may hold other tables."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return read_stream(spark, path, schema, key, record_id)
+    return read_stream(spark, at.getParent().toString(), schema, key, record_id, at.getName())
+
+
 def clean_stream(stream: DataFrame, steps: Sequence[Callable]) -> DataFrame:
     """The cleaning chain of a recipe; it keeps no state."""
     return apply_steps(stream, steps)
