@@ -6,13 +6,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.session import bounded_batches as bounded_batches
 from wordloom.session import materialize
 
-BATCH_ROWS = 2048
-BATCH_BYTES = 8 * 1024 * 1024
 SLICE = 2 * 1024 * 1024  # bytes of text whose per-byte arrays exist at one time
 
 # fixed values: the increment and the two multipliers of the splitmix64 generator, and an odd base
@@ -24,12 +23,6 @@ BASE = 0x5851F42D4C957F2D
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names that no column of ``df`` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}
