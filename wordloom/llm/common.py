@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wordloom.session import bounded_batches as bounded_batches
 from wordloom.session import materialize
 
-SLICE = 2 * 1024 * 1024  # bytes of text whose per-byte arrays exist at one time
+SLICE = 512 * 1024  # bytes of text whose per-byte arrays exist at one time
 
 # fixed values: the increment and the two multipliers of the splitmix64 generator, and an odd base
 GAMMA = 0x9E3779B97F4A7C15
