@@ -32,6 +32,7 @@ RECALL = 0.9999
 BLOCK_ROWS = 2048  # classes of a block, about
 BLOCK_SHINGLES = 4 << 20  # and their shingles
 OUT = 1 << 14  # rows of a batch that a task hands on
+PIECE = 1 << 11  # shingles whose hashes of all seeds exist at one time
 
 
 def depth_for(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -49,8 +50,8 @@ def identity(shingles: np.ndarray) -> tuple[int, int]:
 def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The least of each seed's hashes over a set, set by set in bounded pieces."""
     out = np.full(len(seeds), np.uint64(2**64 - 1))
-    for lo in range(0, len(shingles), 1 << 14):
-        out = np.minimum(out, splitmix(shingles[lo : lo + (1 << 14), None] ^ seeds).min(axis=0))
+    for lo in range(0, len(shingles), PIECE):
+        out = np.minimum(out, splitmix(shingles[lo : lo + PIECE, None] ^ seeds).min(axis=0))
     return out
 
 
@@ -215,6 +216,8 @@ def similar(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str
             sets = shingle_sets([(t or "").encode() for t in texts], size, roll)
             yield pd.DataFrame({"s1": [identity(s)[0] for s in sets], "s2": [identity(s)[1] for s in sets], "set": [s.view(np.int64) for s in sets]})
 
+    # else the filter on what it finds goes below the join, where every text would be cut into shingles for it and those that stay again
+    shingles = shingles.asNondeterministic()
     whole = docs.select(ids.alias("d"), F.col(text).alias("text"))
     sets = whole.join(chosen, "d").withColumn("found", shingles("text"))
     # an id may belong to several texts
