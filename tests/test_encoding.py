@@ -151,3 +151,10 @@ def test_decoding_without_an_unknown_token(spark, vocab):
     assert en.decode(ids, v).first().tokens == [v[0], v[-1]]
     with pytest.raises(Exception, match="no word has the id"):
         en.decode(spark.createDataFrame([([0, 99],)], "ids array<int>"), v).collect()
+
+
+def test_the_join_way_moves_records_and_no_items(spark, corpus, vocab):
+    found = en.Encoder(vocab).encode(corpus, way="join")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(record_id") == 1
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning(record_id")
