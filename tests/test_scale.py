@@ -136,3 +136,11 @@ def test_words_of_simple_texts_are_the_same_either_way(spark):
         split_words("t").alias("quick"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("plain")
     )
     assert found.filter(~F.col("quick").eqNullSafe(F.col("plain"))).count() == 0
+
+
+def test_a_batch_visits_one_block_in_pieces():
+    texts = ["x" * 1000] * 8000
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.arange(8000))], names=["text", "i"])
+    pieces = list(bl.Blocks([None]).gather(iter([batch, batch.slice(0, 0)])))
+    assert max(p.nbytes for p in pieces) <= bl.PIECE_BYTES and len(pieces) < 8
+    assert pa.Table.from_batches(pieces).column("i").to_pylist() == list(range(8000))
