@@ -1,5 +1,6 @@
 """What keeps memory, tasks and shuffles bounded, on small tables."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -14,7 +15,7 @@ from wordloom.operators import vectors as vc
 from wordloom.operators import vocabulary as vb
 from wordloom.operators.encoding import Encoder, decode
 from wordloom.plans.catalog import DOCUMENTS
-from wordloom.session import BATCH_BYTES
+from wordloom.session import BATCH_BYTES, SHUFFLE_CLEANUP, materialize
 
 
 class Shipped:
@@ -144,3 +145,17 @@ def test_a_batch_visits_one_block_in_pieces():
     pieces = list(bl.Blocks([None]).gather(iter([batch, batch.slice(0, 0)])))
     assert max(p.nbytes for p in pieces) <= bl.PIECE_BYTES and len(pieces) < 8
     assert pa.Table.from_batches(pieces).column("i").to_pylist() == list(range(8000))
+
+
+def test_the_shuffles_behind_a_written_table_go_with_it(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    shuffles = lambda: {f for f in files().split() if "shuffle_" in f}
+    before, setting = shuffles(), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    found = materialize(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("g")).count(), "shuffled")
+    for _ in range(50):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(SHUFFLE_CLEANUP, "false") == setting
+    assert sum(r["count"] for r in found.collect()) == 1000
