@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from wordloom import streaming
 from wordloom.operators import blocks as bl
+from wordloom.operators import examples as ex
 from wordloom.operators import training as tn
 from wordloom.operators import vectors as vc
 from wordloom.operators import vocabulary as vb
 from wordloom.operators.encoding import Encoder, decode
 from wordloom.plans.catalog import DOCUMENTS
-from wordloom.session import BATCH_BYTES, SHUFFLE_CLEANUP, materialize
+from wordloom.session import BATCH_BYTES, BATCH_ROWS, SHUFFLE_CLEANUP, materialize
+from wordloom.sources.corpora import Corpus, read_corpus
 
 
 class Shipped:
@@ -159,3 +161,23 @@ def test_the_shuffles_behind_a_written_table_go_with_it(spark):
         time.sleep(0.1)
     assert not left and spark.conf.get(SHUFFLE_CLEANUP, "false") == setting
     assert sum(r["count"] for r in found.collect()) == 1000
+
+
+def test_short_records_go_without_a_second_look_at_their_texts(spark):
+    docs = spark.createDataFrame([(1, "café au lait"), (2, "é"), (3, "a b c d"), (4, None)], "record_id long, text string")
+    v = vb.Vocabulary(vb.word_counts(vb.tokenize_corpus(docs)), special_tokens=["<S>", "</S>"])
+    thin = ex.thinned_sequences(docs, Encoder(v), n=2, t=1.0)
+    assert {r.record_id: len(r.ids) for r in thin.collect()} == {1: 5, 3: 6}
+    plan = thin._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_texts_of_a_corpus_reach_python_in_bounded_batches(spark, sf):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10000")  # as in a session of a user's own
+    try:
+        read_corpus(spark, sf, Corpus(path="documents.parquet", record_id="doc_id"))
+        assert int(spark.conf.get(size)) == BATCH_ROWS
+    finally:
+        spark.conf.set(size, before)
