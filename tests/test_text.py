@@ -155,3 +155,35 @@ def test_python_splitter(column):
         return lambda text: text.split(",")
 
     assert column(tx.from_python(load, "array<string>"), ["a,b", "c"]) == [["a", "b"], ["c"]]
+
+
+# -- words of plain texts in one step --------------------------------------------------
+
+PLAIN = ["", " ", "a", "!", "!!a!b  c!", "Don't_stop\tnow\r\n(3.14%)", PARAGRAPH, "Größe, ÇA VA? Łódź ł ŧ æß", "~" * 9, "x" * 9, " \n "]
+
+
+def test_words_in_one_step_equal_normalising_then_splitting(column):
+    texts = [None, *PLAIN, *SAMPLES, *fuzz(300), *("".join(random.Random(i).choices("aZ9 .'ß\n\t", k=40)) for i in range(200))]
+    expected = column(lambda c: tx.split_words(tx.normalize(c)), texts)
+    assert column(tx.parse_words, texts) == expected
+    assert expected[:3] == [None, [], []]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1024])
+def test_plain_texts_are_cut_across_pieces(column, monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tx, "CUT_BYTES", size)
+    plain = [t for t in PLAIN if "Ł" not in t]
+    texts = ["é Ελλάδα", *plain, None, "“quoted”", *plain]
+    done = [r for piece in tx._parse_plain.func(iter([pa.array(texts), pa.array(texts)[2:5]])) for r in piece.to_pylist()]
+    assert [r["folded"] for r in done[: len(texts)]] == [t if t and "“" in t else "e Ελλαδα" if t and "é" in t else None for t in texts]
+    expected = column(lambda c: tx.split_words(tx.normalize(c)), plain)
+    assert [r["words"] for r in done[: len(texts)]] == [None, *expected, None, None, *expected]
+    assert done[len(texts) :] == done[2:5]
+
+
+def test_texts_go_to_python_once_for_their_words(spark):
+    df = spark.range(3).selectExpr("id", "CAST(id AS STRING) AS text").repartition(2)
+    plan = df.select(tx.parse_words("text").alias("w"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "_parse_plain" in plan and "_fold" not in plan
