@@ -174,6 +174,19 @@ def test_look_up_vectors(spark, vectors, matrix, way):
     assert kept.count() == sum(v is not None for v in got.values())
 
 
+@pytest.mark.parametrize("fits", ["used", "none"])
+def test_look_up_in_a_large_table_joins_the_used_vectors(spark, matrix, monkeypatch, fits):
+    many = spark.createDataFrame([(i, [float(v) for v in matrix[i % 12] + i]) for i in range(3000)], "id int, vector array<float>")
+    rows = spark.createDataFrame([(i, None if i == 5 else i % 40 * 90) for i in range(400)], "k int, id int")
+    monkeypatch.setattr(vc, "MAX_BROADCAST_BYTES", 34 * (16 + 4 * 8) if fits == "used" else 34 * (16 + 4 * 8) - 1)
+    expected = {i: [float(v) for v in (matrix[j % 12] + j).astype(np.float32)] if j < 3000 and i != 5 else None for i, j in ((i, i % 40 * 90) for i in range(400))}
+    found = vc.look_up_vectors(rows, many)
+    got = {r.k: r.vector for r in found.collect()}
+    assert {k: v and pytest.approx(v) for k, v in expected.items()} == got and found.columns == ["k", "id", "vector"]
+    assert ("Union" in found._jdf.queryExecution().optimizedPlan().toString()) == (fits == "none")
+    assert vc.look_up_vectors(rows, many, keep_missing=False).count() == sum(v is not None for v in expected.values())
+
+
 def test_scores_match_brute_force(spark, vectors, matrix):
     rng = np.random.default_rng(9)
     out, bias = rng.normal(size=(12, 4)), rng.normal(size=12)
